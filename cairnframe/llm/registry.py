@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op10_mix
+from . import op1_quality, op10_mix
 
-QUERIES = {"op10_mix_sources": op10_mix.query}
-ORACLE = {"op10_mix_sources": op10_mix.SQL}
+QUERIES = {"op1_quality_rules": op1_quality.query, "op10_mix_sources": op10_mix.query}
+ORACLE = {"op1_quality_rules": op1_quality.SQL, "op10_mix_sources": op10_mix.SQL}
