@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule compares one number of a document (share of symbols, of capitals, of repeated words ...) with a cutoff.  Cutoffs are
-not guessed: for every stratum (language) and rule, labelled rows test a fixed ladder of cutoffs from lenient to strict.  The
-null hypothesis of a step is "this cutoff rejects more than ``alpha / rules`` of the good documents"; its exact p-value is the
-binomial tail P(Bin(n, alpha / rules) <= k), k of the n good holdout rows being rejected (the Clopper-Pearson bound read the
-other way round).  A step counts as long as it and all before it stay under ``delta / (rules * strata)``: fixed-sequence testing
-inside a ladder, Bonferroni over rules and strata.  So with probability 1 - delta no stratum loses more than ``alpha`` of its
-good documents to the rules.  The other half of the labelled rows, kept apart, says which cutoffs are of use.
+not guessed.  In every stratum (language) the labelled rows fall into two halves by a hash of their id.  The tuning half ranks
+the rules by the bad rows they catch, each at the step of its ladder of cutoffs that catches most while it spares the good rows.  The
+holdout half, which had no say in that, then tests the nested sets "first rule", "first two rules" ... in this order.  The null
+hypothesis of a set is "it rejects more than ``alpha`` of the good documents of this stratum"; its exact p-value is the binomial
+tail P(Bin(n, alpha) <= k), k of n good holdout rows being rejected (the Clopper-Pearson bound read the other way round).  A
+set counts as long as it and all before it stay under ``delta / strata``: fixed-sequence testing inside a stratum, Bonferroni
+over strata.  So with probability 1 - delta no stratum loses more than ``alpha`` of its good documents to the chosen rules.
 
 Only DataFrame functions run.  Documents are read once for their numbers; labelled rows are counted per (stratum, rule, level)
 with partial sums; the table of cutoffs has one row per stratum.
@@ -14,7 +15,8 @@ with partial sums; the table of cutoffs has one row per stratum.
 Defined cases:
 
 * null or empty text: no words, ``base_failed``.
-* null language: a stratum of its own.  A stratum with too few labels gets no cutoffs: it keeps what the base rules keep.
+* null language: a stratum of its own.  A stratum with too few labels to prove anything gets no cutoffs: it keeps
+  what the base rules keep.
 * repeated rows are judged alike, each by itself; several labels of a doc_id count as its lowest quality; null labels and null
   doc_ids never calibrate.
 * empty documents or labels: no rows, or base rules only.  Extra columns pass through :func:`filter_documents`.
@@ -140,40 +142,48 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     x = F.col("x")
     rows = measured.where(~base_failed(x)).join(marks, "doc_id")
+    half = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1), 16, 10).cast("int") % 2
+    rows = materialise(rows.select("stratum", half.alias("half"), (F.col("quality") > 0).alias("good"), "x"), "op1-labelled")
     levels = F.array(
         *[
             F.struct(F.lit(r).alias("rule"), sum(((_value(x, r) > c).cast("int") for c in ladder), F.lit(0)).alias("level"))
             for r, (_, _, ladder) in RULES.items()
         ]
     )
-    # half 1 (holdout) certifies, half 0 (tuning) says what is of use
-    half = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1), 16, 10).cast("int") % 2
     counted = (
-        rows.select("stratum", half.alias("half"), (F.col("quality") > 0).alias("good"), F.explode(levels).alias("e"))
+        rows.where("half = 0")
+        .select("stratum", "good", F.explode(levels).alias("e"))
         .groupBy("stratum", F.col("e.rule").alias("rule"), F.col("e.level").alias("level"))
-        .agg(*[F.count_if((F.col("half") == h) & (F.col("good") == F.lit(g))).alias(f"{'good' if g else 'bad'}{h}") for h in (0, 1) for g in (True, False)])
+        .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     )
     ladder = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i + 1).alias("step"), F.lit(c).alias("cutoff")) for r, (_, _, cs) in RULES.items() for i, c in enumerate(cs)])
     steps = counted.select("stratum").distinct().select("stratum", F.explode(ladder).alias("s")).select("stratum", "s.*")
     # a row at level L is rejected by the steps 1..L
-    joined = steps.join(counted, ["stratum", "rule"]).groupBy("stratum", "rule", "step", "cutoff")
-    tested = joined.agg(
-        F.sum(F.when(F.col("level") >= F.col("step"), F.col("good1")).otherwise(0)).alias("k"),
-        F.sum("good1").alias("n"),
-        F.sum(F.when(F.col("level") >= F.col("step"), F.col("good0")).otherwise(0)).alias("kg"),
-        F.sum("good0").alias("ng"),
-        F.sum(F.when(F.col("level") >= F.col("step"), F.col("bad0")).otherwise(0)).alias("kb"),
-        F.sum("bad0").alias("nb"),
+    hit = F.col("level") >= F.col("step")
+    tuned = (
+        steps.join(counted, ["stratum", "rule"])
+        .groupBy("stratum", "rule", "step", "cutoff")
+        .agg(
+            F.sum(F.when(hit, F.col("good")).otherwise(0)).alias("kg"),
+            F.sum("good").alias("ng"),
+            F.sum(F.when(hit, F.col("bad")).otherwise(0)).alias("kb"),
+            F.sum("bad").alias("nb"),
+        )
+        .where((F.col("kg") * len(RULES) <= alpha * F.col("ng")) & (F.col("kb") > 0) & (F.col("kb") >= MIN_BAD * F.col("nb")) & (F.col("kb") * F.col("ng") >= MIN_RATIO * F.col("kg") * F.col("nb")))
+        .groupBy("stratum", "rule")
+        .agg(F.max_by(F.struct("cutoff", "kb"), F.struct(F.col("kb"), -F.col("step"))).alias("b"))
     )
-    strata = F.size(F.collect_set("stratum").over(Window.partitionBy()))
-    tested = tested.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES))).withColumn("strata", strata)
-    so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tested = tested.withColumn("worst", F.max("p_value").over(so_far))
-    bad, good = F.col("kb") / F.col("nb"), F.col("kg") / F.greatest(F.col("ng"), F.lit(1))
-    use = (F.col("nb") > 0) & F.when(F.col("nb") > 0, (bad >= MIN_BAD) & (bad >= MIN_RATIO * good)).otherwise(False)
-    chosen = tested.where((F.col("worst") <= F.lit(delta) / (len(RULES) * F.col("strata"))) & use)
-    best = chosen.groupBy("stratum", "rule").agg(F.max_by("cutoff", "step").alias("cutoff"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(F.col("b.kb").desc(), "rule"))
+    tuned = tuned.select("stratum", F.struct(rank.alias("rank"), "rule", "b.cutoff").alias("t")).groupBy("stratum").agg(F.sort_array(F.collect_list("t")).alias("tuned"))
+    held = join_small(rows.where("half = 1 AND good"), materialise(tuned, "op1-tuned"), "stratum")
+    failing = F.filter("tuned", lambda t: _fails(x, t))
+    first = held.select("stratum", "tuned", F.coalesce(F.get(failing, F.lit(0))["rank"], F.lit(len(RULES) + 1)).alias("first"))
+    counts = first.groupBy("stratum").agg(F.first("tuned").alias("tuned"), F.count("*").alias("n"), *[F.count_if(F.col("first") <= i).alias(f"k{i}") for i in range(1, len(RULES) + 1)])
+    strata = max(1, rows.select("stratum").distinct().count())
+    ks = F.array(*[F.struct(F.lit(i).alias("rank"), binomial_tail(F.col(f"k{i}"), F.col("n"), alpha).alias("p")) for i in range(1, len(RULES) + 1)])
+    passed = let(F.filter(ks, lambda s: s["p"] > F.lit(delta / strata)), lambda bad: F.coalesce(F.get(bad, F.lit(0))["rank"], F.lit(len(RULES) + 1)) - 1)
+    kept = F.filter("tuned", lambda t: t["rank"] <= F.col("upto"))
+    return counts.withColumn("upto", passed).select("stratum", F.map_from_entries(F.transform(kept, lambda t: F.struct(t["rule"], t["cutoff"]))).alias("cutoffs"))
 
 
 def _rejected(x: Column, cutoffs: Column) -> Column:
@@ -185,6 +195,11 @@ def _rejected(x: Column, cutoffs: Column) -> Column:
     return out
 
 
+def _fails(x: Column, t: Column) -> Column:
+    """Whether the numbers are over the cutoff of one tuned rule."""
+    return F.element_at(F.create_map(*[y for r in RULES for y in (F.lit(r), _value(x, r))]), t["rule"]) > t["cutoff"]
+
+
 def _stratum(lang: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
 
@@ -223,7 +238,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     rule_rows = ", ".join(f"('{r}', {i + 1}, {c}::DOUBLE)" for r, (_, _, cs) in RULES.items() for i, c in enumerate(cs))
     values = " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, CASE WHEN {b} > 0 THEN {t}::DOUBLE / {b} ELSE 0.0 END AS v FROM x" for r, (t, b, _) in RULES.items())
-    m, p = len(RULES), repr(ALPHA / len(RULES))
+    m, p = len(RULES), repr(ALPHA)
     return rf"""
 WITH RECURSIVE t AS (
   SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text FROM documents
@@ -257,20 +272,27 @@ WITH RECURSIVE t AS (
 ), ladder(rule, step, cutoff) AS (VALUES {rule_rows}
 ), tested AS (
   SELECT stratum, rule, step, cutoff,
-    count(*) FILTER (WHERE good AND half = 1 AND v > cutoff) AS k, count(*) FILTER (WHERE good AND half = 1) AS n,
-    count(*) FILTER (WHERE good AND half = 0 AND v > cutoff) AS kg, count(*) FILTER (WHERE good AND half = 0) AS ng,
-    count(*) FILTER (WHERE NOT good AND half = 0 AND v > cutoff) AS kb, count(*) FILTER (WHERE NOT good AND half = 0) AS nb
-  FROM lab JOIN vals USING (doc_id) JOIN ladder USING (rule) GROUP BY ALL
+    count(*) FILTER (WHERE good AND v > cutoff) AS kg, count(*) FILTER (WHERE good) AS ng,
+    count(*) FILTER (WHERE NOT good AND v > cutoff) AS kb, count(*) FILTER (WHERE NOT good) AS nb
+  FROM lab JOIN vals USING (doc_id) JOIN ladder USING (rule) WHERE half = 0 GROUP BY ALL
+), tuned AS (
+  SELECT stratum, rule, arg_max(cutoff, kb * 100 - step) AS cutoff, max(kb) AS kb FROM tested
+  WHERE kg * {m} <= {ALPHA}::DOUBLE * ng AND kb > 0 AND kb >= {MIN_BAD}::DOUBLE * nb AND kb * ng >= {MIN_RATIO}::DOUBLE * kg * nb GROUP BY stratum, rule
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY kb DESC, rule) AS rank FROM tuned
+), firsts AS (
+  SELECT lab.stratum, lab.doc_id, min(CASE WHEN v > cutoff THEN rank END) AS first
+  FROM lab JOIN ranked ON lab.stratum = ranked.stratum JOIN vals ON vals.doc_id = lab.doc_id AND vals.rule = ranked.rule WHERE half = 1 AND good GROUP BY ALL
+), ks AS (
+  SELECT stratum, r AS rank, count(*) AS n, count(*) FILTER (WHERE first <= r) AS k FROM firsts, range(1, {m} + 1) z(r) GROUP BY ALL
 ), tails AS (
-  SELECT stratum, rule, step, cutoff, kg, ng, kb, nb, CASE WHEN k > n * {p} THEN 1.0 ELSE
+  SELECT stratum, rank, CASE WHEN k > n * {p} THEN 1.0 ELSE
     (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))) FROM range(0, k + 1) r(j)) END AS p_value
-  FROM tested
+  FROM ks
 ), seq AS (
-  SELECT *, max(p_value) OVER (PARTITION BY stratum, rule ORDER BY step ROWS UNBOUNDED PRECEDING) AS worst, (SELECT count(DISTINCT stratum) FROM tested) AS strata FROM tails
+  SELECT *, max(p_value) OVER (PARTITION BY stratum ORDER BY rank ROWS UNBOUNDED PRECEDING) AS worst, (SELECT count(DISTINCT stratum) FROM lab) AS strata FROM tails
 ), best AS (
-  SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM seq
-  WHERE worst <= {DELTA}::DOUBLE / ({m} * strata) AND nb > 0 AND kb::DOUBLE / nb >= {MIN_BAD} AND kb::DOUBLE / nb >= {MIN_RATIO} * (kg::DOUBLE / greatest(ng, 1))
-  GROUP BY stratum, rule
+  SELECT ranked.* FROM ranked JOIN seq USING (stratum, rank) WHERE worst <= {DELTA}::DOUBLE / strata
 ), hit AS (
   SELECT DISTINCT y.doc_id FROM y JOIN best USING (stratum) JOIN vals ON vals.doc_id = y.doc_id AND vals.rule = best.rule WHERE v > cutoff
 )
