@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op10_mix
+from . import op1_quality, op3_order, op5_simhash, op10_mix
 
-QUERIES = {"op1_quality_rules": op1_quality.query, "op10_mix_sources": op10_mix.query}
+QUERIES = {
+    "op1_quality_rules": op1_quality.query,
+    "op3_training_order": op3_order.query,
+    "op5_simhash_classes": op5_simhash.query,
+    "op10_mix_sources": op10_mix.query,
+}
 ORACLE = {"op1_quality_rules": op1_quality.SQL, "op10_mix_sources": op10_mix.SQL}
