@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_quality, op3_order, op5_simhash, op9_repeats, op10_mix
+from . import op1_quality, op2_pii, op3_order, op5_simhash, op9_repeats, op10_mix
 
 QUERIES = {
     "op1_quality_rules": op1_quality.query,
+    "op2_personal_data": op2_pii.query,
     "op3_training_order": op3_order.query,
     "op5_simhash_classes": op5_simhash.query,
     "op9_remove_repeats": op9_repeats.query,
