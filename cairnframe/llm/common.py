@@ -55,11 +55,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
+    """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced, before the next large shuffle.
+
+    Python's references reach the JVM's collector, and its weak references the cleaner, one after the other: hence rounds.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -136,36 +136,59 @@ def _roots(n: int, a, b):
     return label
 
 
-def bucket_links(keys, fps, radius: int = RADIUS):
-    """Spanning edges (fp, fp) among the rows of whole buckets; ``keys`` sorted."""
+def bucket_links(keys, fps, radius: int = RADIUS, wide=None, limit: int = 0):
+    """Spanning links among the rows of whole buckets, as two arrays of row numbers.
+
+    With ``wide`` (rows x words of long fingerprints) a link counts only if these differ in ``limit`` bits at most.  Rows equal in
+    ``fps`` then first meet the first of them; only those too far from it stay in the search.
+    """
     import numpy as np
 
+    def near(i, j):
+        return np.bitwise_count(wide[i] ^ wide[j]).sum(axis=-1, dtype=np.int64) <= limit
+
     order = np.lexsort((gray_rank(fps), keys))
-    keys, fps = keys[order], fps[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sizes = np.diff(np.append(starts, keys.size))
-    small = np.repeat(sizes <= FAN, sizes)
     left, right = [], []
+    if wide is not None:
+        k, f = keys[order], fps[order]
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])))
+        leader = order[np.repeat(first, np.diff(np.append(first, k.size)))]
+        follows = (leader != order) & near(order, leader)
+        left.append(order[follows])
+        right.append(leader[follows])
+        order = order[~follows]
+    k, f = keys[order], fps[order]
+    starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    sizes = np.diff(np.append(starts, k.size))
+    small = np.repeat(sizes <= FAN, sizes)
     for d in range(1, FAN):  # buckets of one node: neighbours in it
-        i = np.flatnonzero((keys[:-d] == keys[d:]) & small[:-d]) if keys.size > d else np.zeros(0, dtype=np.int64)
-        i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
-        left.append(i)
-        right.append(i + d)
+        i = np.flatnonzero((k[:-d] == k[d:]) & small[:-d]) if k.size > d else np.zeros(0, dtype=np.int64)
+        i = i[np.bitwise_count(f[i] ^ f[i + d]) <= radius]
+        if wide is not None:
+            i = i[near(order[i], order[i + d])]
+        left.append(order[i])
+        right.append(order[i + d])
     for s, n in zip(starts[sizes > FAN].tolist(), sizes[sizes > FAN].tolist(), strict=True):
-        index = GrayIndex(fps[s : s + n])
-        seen = np.arange(n)
+        index = GrayIndex(f[s : s + n])  # already in Gray order
+        rows, seen = order[s : s + n], np.arange(n)
         for at in range(0, n, 256):
             q, leaf = index.search(index.fps[at : at + 256], radius)
             q = q + at
             forward = leaf > q
-            seen = _roots(n, np.append(q[forward], np.arange(n)), np.append(leaf[forward], seen))
+            q, leaf = q[forward], leaf[forward]
+            if wide is not None:
+                apart = seen[q] != seen[leaf]  # what is linked already needs no confirming
+                q, leaf = q[apart], leaf[apart]
+                ok = near(rows[q], rows[leaf])
+                q, leaf = q[ok], leaf[ok]
+            seen = _roots(n, np.append(q, np.arange(n)), np.append(leaf, seen))
         moved = np.flatnonzero(seen != np.arange(n))
-        left.append(moved + s)
-        right.append(seen[moved] + s)
+        left.append(rows[moved])
+        right.append(rows[seen[moved]])
     a, b = np.concatenate(left), np.concatenate(right)
     label = _roots(keys.size, a, b)
     moved = np.flatnonzero(label != np.arange(keys.size))
-    return fps[moved], fps[label[moved]]
+    return moved, label[moved]
 
 
 def _blocks(rows: DataFrame, width: int) -> DataFrame:
@@ -176,22 +199,27 @@ def _blocks(rows: DataFrame, width: int) -> DataFrame:
         value = F.shiftrightunsigned("rest", b * size).bitwiseAND(F.lit((1 << size) - 1))
         low = F.col("rest").bitwiseAND(F.lit((1 << (b * size)) - 1))
         high = F.shiftleft(F.shiftrightunsigned("rest", (b + 1) * size), b * size) if b < 3 else F.lit(0).cast("long")
-        return F.struct(((F.col("key") * 4 + b) * (1 << size) + value).alias("key"), F.col("fp"), high.bitwiseOR(low).alias("rest"))
+        others = [F.col(c) for c in rows.columns if c not in ("key", "rest")]
+        return F.struct(((F.col("key") * 4 + b) * (1 << size) + value).alias("key"), high.bitwiseOR(low).alias("rest"), *others)
 
     return rows.select(F.explode(F.array(*[one(b) for b in range(4)])).alias("x")).select("x.*")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Edges u, v between distinct fingerprints (column fp): a spanning forest of every bucket's links."""
+def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT, limit: int | None = None) -> DataFrame:
+    """Edges u, v: a spanning forest of every bucket's links.
+
+    ``fps`` has distinct fingerprints in column fp, which are the nodes; with ``limit`` it has node, fp, table (a small number: rows
+    of different tables never meet) and wide (the long fingerprint's bytes), and links differ in ``limit`` of its bits at most.
+    """
     if radius > 3:
         raise ValueError("four blocks find links of at most three differing bits")
-    rows = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("rest"))
+    long = limit is not None
+    rows = fps.select((F.col("table") if long else F.lit(0)).cast("long").alias("key"), F.col("fp").alias("rest"), "fp", *(["node", "wide"] if long else []))
     ready = None
     for width in (64, 48, 36):
         rows = _blocks(rows, width)
         if width > 36:
-            heavy = rows.groupBy("key").count().where(F.col("count") > hot).select("key")
-            heavy = materialise(heavy, "op5-hot")
+            heavy = materialise(rows.groupBy("key").count().where(F.col("count") > hot).select("key"), "op5-hot")
             if heavy.isEmpty():
                 ready, rows = (rows if ready is None else ready.unionByName(rows)), None
                 break
@@ -205,22 +233,27 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def link(keys, got):
-            a, b = bucket_links(keys, got, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
+        def link(keys, got, nodes, wide):
+            a, b = bucket_links(keys, got, radius, wide if long else None, limit or 0)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["u", "v"])
 
-        keys, got = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        held = None
         for batch in batches:
-            keys = np.append(keys, batch.column(0).to_numpy())
-            got = np.append(got, batch.column(1).to_numpy().view(np.uint64))
-            if keys.size > 50_000 and (end := int(np.searchsorted(keys, keys[-1]))):  # the last bucket may go on
-                yield link(keys[:end], got[:end])
-                keys, got = keys[end:], got[end:]
-        if keys.size:
-            yield link(keys, got)
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)]
+            if long:
+                new += [batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=">u8").astype(np.uint64).reshape(batch.num_rows, -1)]
+            else:
+                new += [batch.column(1).to_numpy(), np.zeros((batch.num_rows, 0), dtype=np.uint64)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held[0].size > 50_000 and (end := int(np.searchsorted(held[0], held[0][-1]))):  # the last bucket may go on
+                yield link(*(x[:end] for x in held))
+                held = [x[end:] for x in held]
+        if held is not None and held[0].size:
+            yield link(*held)
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ready.select("key", "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    columns = ["key", "fp", *(["node", "wide"] if long else [])]
+    return ready.select(*columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -241,6 +274,77 @@ def _classes(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     return prints.join(named.select("fp", "component_id"), "fp"), named
 
 
+TABLES = 6
+WIDE_LIMIT = 40
+
+
+def long_fingerprint(text: bytes | None, tables: int = TABLES) -> bytes:
+    """``tables`` words of 64 majority bits over a text's distinct words, each by its own seed."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = set((text or b"").translate(_LOWER).split())
+    if not words:
+        return bytes(8 * tables)
+    h = np.array([[xxh64_intdigest(w, SEED + t) for t in range(tables)] for w in words], dtype=">u8")
+    ones = np.unpackbits(h.view(np.uint8).reshape(len(words), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words)).tobytes()
+
+
+def near_dedup(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, limit: int = WIDE_LIMIT) -> DataFrame:
+    """The documents, one (the smallest doc_id) of each group of copies and near copies.
+
+    Texts whose five-word shingles are 0.8 alike or more still differ in some 7 % of the bits of any SimHash, so one 64-bit
+    fingerprint at three bits would miss most of them.  Here a text has ``tables`` fingerprints, over its distinct words; a pair
+    that is within ``radius`` bits in one of them is a candidate, and a link if all 64 * tables bits differ in ``limit`` at most
+    (README: 99.5 % of such pairs, and no pair of unrelated texts comes near).  Equal texts collapse first.  Of rows that share
+    doc_id and text one stays; null doc_ids come last.
+    """
+    cols = docs.columns
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([long_fingerprint(t, tables) for t in some.column(1).to_pylist()], pa.binary())], names=["doc_id", "wide"])
+
+    # step 1, narrow rows only: long fingerprints, then one node for each distinct one
+    inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    prints = materialise(inputs.mapInArrow(run, "doc_id long, wide binary"), "op5-long")
+    nodes = prints.groupBy("wide").agg(F.min("doc_id").alias("first_id"))
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "wide", "first_id"), "op5-nodes")
+    words = [F.struct(F.lit(t).alias("table"), F.conv(F.substring(F.hex("wide"), 16 * t + 1, 16), 16, -10).cast("long").alias("fp")) for t in range(tables)]
+    found = components(links(nodes.select("node", "wide", F.explode(F.array(*words)).alias("w")).select("node", "wide", "w.*"), radius, limit=limit))
+    rooted = nodes.join(found, "node", "left").select("wide", "first_id", F.coalesce("root", "node").alias("root"))
+    rooted = materialise(rooted, "op5-rooted")
+    best = materialise(rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("doc_id"), F.col("wide").alias("wide"))).alias("b")).select("b.doc_id", "b.wide"), "op5-best")
+    keep = best.select(F.col("doc_id").alias("keep_id"), "wide")
+    # step 2: the kept document of each group, found by its id; texts move once, and only one row a group is wanted
+    ids = materialise(keep.select("keep_id").where("keep_id IS NOT NULL").distinct(), "op5-ids")
+    drop_scratch(nodes, rooted)
+    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
+    named = docs.select(row, F.col("doc_id").cast("long").alias("keep_id"), F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("h"))
+    some = named.join(ids, "keep_id", "left_semi")
+    if prints.where("doc_id IS NULL").isEmpty() and prints.count() == prints.select("doc_id").distinct().count():
+        return some.select("row.*")  # ids are keys: the common case
+    # ids repeat or are missing: fingerprints tell which of their rows was chosen, and one of equal rows stays
+    again = named.where("keep_id IS NULL").unionByName(some)
+
+    def tag(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            wide = [long_fingerprint(t, tables) for t in batch.column("t").to_pylist()]
+            yield batch.drop_columns(["t"]).append_column("wide", pa.array(wide, pa.binary()))
+
+    schema = again.schema.add("wide", "binary")
+    tagged = again.withColumn("t", F.col("row.text").cast("binary")).mapInArrow(tag, schema)
+    chosen = tagged.join(keep.withColumnRenamed("keep_id", "id"), (tagged.wide == keep.wide) & tagged.keep_id.eqNullSafe(F.col("id"))).select(tagged.wide, tagged.h, tagged.row)
+    return chosen.groupBy("wide").agg(F.min_by("row", "h").alias("row")).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -204,12 +204,14 @@ def _decide(rows: DataFrame, name: str, loose: str, tight: str, place: list[str]
     """
     rows = materialise(rows, name)
     per = rows.groupBy(loose).agg(F.sum("n").alias("w"), F.min(tight).alias("least"), F.max(tight).alias("most")).where("w >= 2")
-    several = materialise(rows.join(per.select(loose, (F.col("least") != F.col("most")).alias("mixed")), loose), name + "-several")
-    drop_scratch(rows)
+    # written first: a join straight above an aggregation is one that AQE cannot split where a key is hot
+    per = materialise(per.select(loose, (F.col("least") != F.col("most")).alias("mixed")), name + "-counts")
+    several = materialise(rows.join(per, loose), name + "-several")
+    drop_scratch(rows, per)
     mixed = several.where("mixed")
     by_class = materialise(mixed.groupBy(loose, tight).agg(F.sum("n").alias("w"), F.min(F.struct("key", *place)).alias("r")), name + "-classes")
     repeated = several.where("NOT mixed").select("key", *place).unionByName(mixed.join(by_class.where("w >= 2").select(loose, tight), [loose, tight]).select("key", *place))
-    open_ = by_class.groupBy(loose).agg(F.min("w").alias("fewest")).where("fewest = 1").select(loose)
+    open_ = materialise(by_class.groupBy(loose).agg(F.min("w").alias("fewest")).where("fewest = 1").select(loose), name + "-open")
     return repeated, by_class.join(open_, loose).select(F.col("r.key").alias("key"), F.col("w").alias("n"), *[F.col(f"r.{c}").alias(c) for c in place])
 
 
@@ -287,7 +289,7 @@ def spans(texts: Texts, length: int = LENGTH) -> DataFrame:
 
     zones = rest.select("key", F.struct("lo", "hi", "n").alias("zone"))
     rows = materialise(texts.with_zones(zones).mapInArrow(find_windows, "key binary, n long, s long, x long, y long"), "op9-windows")
-    twice = rows.groupBy("x", "y").agg(F.sum("n").alias("w")).where("w >= 2").select("x", "y")
+    twice = materialise(rows.groupBy("x", "y").agg(F.sum("n").alias("w")).where("w >= 2").select("x", "y"), "op9-twice")
     third = rows.join(twice, ["x", "y"]).select("key", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
     return first.unionByName(second).unionByName(third)
 
