@@ -297,7 +297,7 @@ def near_dedup(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, limi
     Texts whose five-word shingles are 0.8 alike or more still differ in some 7 % of the bits of any SimHash, so one 64-bit
     fingerprint at three bits would miss most of them.  Here a text has ``tables`` fingerprints, over its distinct words; a pair
     that is within ``radius`` bits in one of them is a candidate, and a link if all 64 * tables bits differ in ``limit`` at most
-    (README: 99.5 % of such pairs, and no pair of unrelated texts comes near).  Equal texts collapse first.  Of rows that share
+    (some are missed, as with any sketch).  Equal texts collapse first.  Of rows that share
     doc_id and text one stays; null doc_ids come last.
     """
     cols = docs.columns
@@ -326,7 +326,8 @@ def near_dedup(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, limi
     drop_scratch(nodes, rooted)
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
     named = docs.select(row, F.col("doc_id").cast("long").alias("keep_id"), F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("h"))
-    some = named.join(ids, "keep_id", "left_semi")
+    # a hash join at every size: sorting would sort the texts, too
+    some = named.join(ids.hint("shuffle_hash"), "keep_id", "left_semi")
     if prints.where("doc_id IS NULL").isEmpty() and prints.count() == prints.select("doc_id").distinct().count():
         return some.select("row.*")  # ids are keys: the common case
     # ids repeat or are missing: fingerprints tell which of their rows was chosen, and one of equal rows stays
