@@ -140,7 +140,7 @@ def bucket_links(keys, fps, radius: int = RADIUS, wide=None, limit: int = 0):
     """Spanning links among the rows of whole buckets, as two arrays of row numbers.
 
     With ``wide`` (rows x words of long fingerprints) a link counts only if these differ in ``limit`` bits at most.  Rows equal in
-    ``fps`` then first meet the first of them; only those too far from it stay in the search.
+    ``fps`` then first meet the first of them; all stay in the search, which skips only pairs that are linked already.
     """
     import numpy as np
 
@@ -149,6 +149,7 @@ def bucket_links(keys, fps, radius: int = RADIUS, wide=None, limit: int = 0):
 
     order = np.lexsort((gray_rank(fps), keys))
     left, right = [], []
+    tied, place = np.arange(keys.size), np.zeros(keys.size, dtype=np.int64)
     if wide is not None:
         k, f = keys[order], fps[order]
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])))
@@ -156,7 +157,7 @@ def bucket_links(keys, fps, radius: int = RADIUS, wide=None, limit: int = 0):
         follows = (leader != order) & near(order, leader)
         left.append(order[follows])
         right.append(leader[follows])
-        order = order[~follows]
+        tied[order[follows]] = leader[follows]
     k, f = keys[order], fps[order]
     starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     sizes = np.diff(np.append(starts, k.size))
@@ -170,7 +171,11 @@ def bucket_links(keys, fps, radius: int = RADIUS, wide=None, limit: int = 0):
         right.append(order[i + d])
     for s, n in zip(starts[sizes > FAN].tolist(), sizes[sizes > FAN].tolist(), strict=True):
         index = GrayIndex(f[s : s + n])  # already in Gray order
-        rows, seen = order[s : s + n], np.arange(n)
+        rows = order[s : s + n]
+        seen = np.arange(n)
+        if wide is not None:
+            place[rows] = seen
+            seen = place[tied[rows]]
         for at in range(0, n, 256):
             q, leaf = index.search(index.fps[at : at + 256], radius)
             q = q + at

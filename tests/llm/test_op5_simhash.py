@@ -107,3 +107,24 @@ def test_near_dedup_keeps_one_of_each_group(spark):
 
 def test_empty(spark):
     assert op.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bucket_links_search_followers_too():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+
+    def flipped(word, bits):
+        out = base.copy()
+        out[word] ^= np.uint64((1 << bits) - 1)
+        return out
+
+    leader, follower = base, flipped(1, 30)
+    other = follower.copy()
+    other[2] ^= np.uint64((1 << 30) - 1)  # 30 bits from the follower, 60 from the leader
+    far = rng.integers(0, 2**63, (10, 6), dtype=np.uint64)
+    far[:, 0] = rng.integers(0, 2**63, 10, dtype=np.uint64)
+    for wide in (np.array([leader, follower, other]), np.concatenate([[leader, follower, other], far])):
+        fps = np.where(np.arange(len(wide)) == 2, base[0] ^ np.uint64(1), wide[:, 0])
+        a, b = op.bucket_links(np.zeros(len(wide), dtype=np.int64), fps, 3, wide, 40)
+        label = dict(zip(a.tolist(), b.tolist(), strict=True))
+        assert label == {1: 0, 2: 0}
