@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, drop_scratch, materialise
@@ -279,31 +279,147 @@ def _classes(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     return prints.join(named.select("fp", "component_id"), "fp"), named
 
 
-TABLES = 6
-WIDE_LIMIT = 40
+#: Near copies: words in a shingle, and the least Jaccard similarity as a fraction.
+NEAR_SHINGLE = 5
+NEAR = (4, 5)
+#: Candidates agree in all ``ROWS`` minima of one of ``BANDS`` bands.
+BANDS = 20
+ROWS = 4
+#: Buckets up to this size compare all their pairs at once, larger ones begin with ``FIRST`` of their rows.
+SMALL = 8
+FIRST = 2
 
 
-def long_fingerprint(text: bytes | None, tables: int = TABLES) -> bytes:
-    """``tables`` words of 64 majority bits over a text's distinct words, each by its own seed."""
+def normalised(text: bytes | None) -> list[bytes]:
+    """The words that shingles are made of."""
+    return (text or b"").translate(_LOWER).split()
+
+
+def near_shingles(words: list[bytes]):
+    """The set of five-word shingles as sorted 64-bit hashes; fewer words are one shingle, no words none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    words = set((text or b"").translate(_LOWER).split())
     if not words:
-        return bytes(8 * tables)
-    h = np.array([[xxh64_intdigest(w, SEED + t) for t in range(tables)] for w in words], dtype=">u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(len(words), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(words)).tobytes()
+        return np.zeros(0, dtype=np.uint64)
+    w = np.array([xxh64_intdigest(x, SEED) for x in words], dtype=np.uint64)
+    n = min(NEAR_SHINGLE, w.size)
+    h = np.full(w.size - n + 1, n, dtype=np.uint64)
+    for i in range(n):
+        h = (h ^ w[i : w.size - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def band_keys(shingles, bands: int = BANDS, rows: int = ROWS):
+    """One key for each band of MinHash values (int64); none for the empty set."""
+    import numpy as np
+
+    if not shingles.size:
+        return np.zeros(0, dtype=np.int64)
+    rng = np.random.default_rng(SEED)
+    salt, factor = rng.integers(0, 2**64, (2, bands * rows, 1), dtype=np.uint64)
+    factor |= np.uint64(1)
+    least = np.full(bands * rows, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, shingles.size, 1024):
+        least = np.minimum(least, ((shingles[at : at + 1024] ^ salt) * factor).min(axis=1))
+    key = np.arange(bands, dtype=np.uint64)
+    for part in least.reshape(bands, rows).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def text_key(words: list[bytes]) -> bytes:
+    """The same for texts of the same words only."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(b" ".join(words))
+
+
+def near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose texts (node, text) have five-word shingles alike enough, by the whole sets."""
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def near_dedup(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, limit: int = WIDE_LIMIT) -> DataFrame:
+        held, size = {}, 0
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            nodes = [batch.column(k).to_pylist() for k in (0, 1)]
+            for i in range(batch.num_rows):
+                sets = []
+                for k in (0, 1):
+                    node = nodes[k][i]
+                    if node not in held:
+                        if size > 2_000_000:
+                            held, size = {}, 0
+                        held[node] = near_shingles(normalised(batch.column(2 + k)[i].as_py()))
+                        size += held[node].size
+                    sets.append(held[node])
+                a, b = sets
+                if NEAR[1] * min(a.size, b.size) < NEAR[0] * max(a.size, b.size):
+                    continue
+                # of numbers that are distinct on each side, those on both come twice
+                both = np.sort(np.concatenate(sets))
+                common = int((both[1:] == both[:-1]).sum())
+                keep[i] = NEAR[1] * common >= NEAR[0] * (a.size + b.size - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
+
+    left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
+    right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_components(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root): components of all confirmed links between rows (key, n, node) of one bucket.
+
+    Small buckets compare all pairs.  In a larger one its first rows meet all others, then ever more of them do, until its rows are
+    one component or all have been compared; pairs in one component already, or compared before, are left out.  So a group of
+    near copies costs a few comparisons a row, and no pair that could still join two components is left uncompared.
+    """
+    spark = buckets.sparkSession
+    most = buckets.agg(F.max("n")).first()[0] or 0
+    found = spark.createDataFrame([], "node long, root long")
+    edges = tried = None
+    low, high = 0, FIRST
+    while low < most:
+        rows = buckets if edges is None else buckets.where(F.col("n") > SMALL).join(found, "node", "left")
+        rows = rows.withColumn("comp", F.lit(None).cast("long")) if edges is None else rows.withColumn("comp", F.coalesce("root", "node")).drop("root")
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+        if edges is None:
+            firsts = ranked.where((F.col("rank") <= SMALL) & ((F.col("n") <= SMALL) | (F.col("rank") <= high)))
+        else:
+            alive = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
+            alive = materialise(alive, "op5-alive")
+            if alive.isEmpty():
+                break
+            rows = rows.join(alive, "key", "left_semi")
+            firsts = ranked.where(F.col("rank") <= high).where(F.col("rank") > low).join(alive, "key", "left_semi")
+        firsts = firsts.select("key", F.col("node").alias("u"), F.col("comp").alias("u_comp"))
+        pairs = firsts.join(rows.select("key", F.col("node").alias("v"), "comp"), "key").where("v > u AND (comp IS NULL OR comp != u_comp)").select("u", "v").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = materialise(pairs, "op5-pairs")
+        new = materialise(near_pairs(pairs, texts), "op5-links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        fresh = edges is None or not new.isEmpty()
+        edges = new if edges is None else edges.unionByName(new)
+        if fresh:
+            found = materialise(components(edges), "op5-roots")
+        low, high = (high, high * 4) if most > SMALL else (most, most)
+    return found
+
+
+def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The documents, one (the smallest doc_id) of each group of copies and near copies.
 
-    Texts whose five-word shingles are 0.8 alike or more still differ in some 7 % of the bits of any SimHash, so one 64-bit
-    fingerprint at three bits would miss most of them.  Here a text has ``tables`` fingerprints, over its distinct words; a pair
-    that is within ``radius`` bits in one of them is a candidate, and a link if all 64 * tables bits differ in ``limit`` at most
-    (some are missed, as with any sketch).  Equal texts collapse first.  Of rows that share
-    doc_id and text one stays; null doc_ids come last.
+    A link is a pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found by the whole sets
+    (64-bit hashes).  One SimHash at three bits would miss most such pairs, so candidates come from MinHash: pairs that agree in
+    one of ``bands`` bands of ``rows`` minima.  A pair at similarity J is missed with probability (1 - J ** rows) ** bands, at 0.8
+    3 in 100,000.  Texts of the same words collapse first; fewer than five words are one shingle, empty texts are copies.  Of
+    rows that share doc_id and text one stays; null doc_ids come last.
     """
     cols = docs.columns
 
@@ -313,15 +429,34 @@ def near_dedup(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, limi
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([long_fingerprint(t, tables) for t in some.column(1).to_pylist()], pa.binary())], names=["doc_id", "wide"])
+                words = [normalised(t) for t in some.column(1).to_pylist()]
+                keys = [band_keys(near_shingles(w), bands, rows) for w in words]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([text_key(w) for w in words], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "wide", "keys"])
 
-    # step 1, narrow rows only: long fingerprints, then one node for each distinct one
+    # step 1, narrow rows only: one node for each distinct text, and its buckets
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    prints = materialise(inputs.mapInArrow(run, "doc_id long, wide binary"), "op5-long")
-    nodes = prints.groupBy("wide").agg(F.min("doc_id").alias("first_id"))
-    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "wide", "first_id"), "op5-nodes")
-    words = [F.struct(F.lit(t).alias("table"), F.conv(F.substring(F.hex("wide"), 16 * t + 1, 16), 16, -10).cast("long").alias("fp")) for t in range(tables)]
-    found = components(links(nodes.select("node", "wide", F.explode(F.array(*words)).alias("w")).select("node", "wide", "w.*"), radius, limit=limit))
+    prints = materialise(inputs.mapInArrow(run, "doc_id long, wide binary, keys array<long>"), "op5-long")
+    nodes = prints.groupBy("wide").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "wide", "first_id", "keys"), "op5-nodes")
+    each = nodes.select("node", F.explode("keys").alias("key"))
+    shared = materialise(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "op5-shared")
+    buckets = materialise(each.join(shared, "key").select("key", "n", "node"), "op5-buckets")
+    # the texts that candidates are confirmed by: only of nodes that share a bucket
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "wide", F.col("first_id").isNull().alias("none"), F.coalesce("first_id", F.lit(0)).alias("id"))
+
+    def named_texts(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            wide = [text_key(normalised(t)) for t in batch.column(1).to_pylist()]
+            yield batch.append_column("wide", pa.array(wide, pa.binary()))
+
+    held = inputs.mapInArrow(named_texts, "doc_id long, text binary, wide binary")
+    held = held.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "wide", "text")
+    held = held.join(wanted.hint("shuffle_hash"), ["none", "id", "wide"]).groupBy("none", "id", "wide").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    texts = materialise(held.select("node", "text"), "op5-texts")
+    found = near_components(buckets, texts)
+    drop_scratch(shared, buckets, texts)
     rooted = nodes.join(found, "node", "left").select("wide", "first_id", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "op5-rooted")
     best = materialise(rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("doc_id"), F.col("wide").alias("wide"))).alias("b")).select("b.doc_id", "b.wide"), "op5-best")
@@ -335,14 +470,14 @@ def near_dedup(docs: DataFrame, tables: int = TABLES, radius: int = RADIUS, limi
     some = named.join(ids.hint("shuffle_hash"), "keep_id", "left_semi")
     if prints.where("doc_id IS NULL").isEmpty() and prints.count() == prints.select("doc_id").distinct().count():
         return some.select("row.*")  # ids are keys: the common case
-    # ids repeat or are missing: fingerprints tell which of their rows was chosen, and one of equal rows stays
+    # ids repeat or are missing: text keys tell which of their rows was chosen, and one of equal rows stays
     again = named.where("keep_id IS NULL").unionByName(some)
 
     def tag(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            wide = [long_fingerprint(t, tables) for t in batch.column("t").to_pylist()]
+            wide = [text_key(normalised(t)) for t in batch.column("t").to_pylist()]
             yield batch.drop_columns(["t"]).append_column("wide", pa.array(wide, pa.binary()))
 
     schema = again.schema.add("wide", "binary")

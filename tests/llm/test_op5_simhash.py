@@ -128,3 +128,48 @@ def test_bucket_links_search_followers_too():
         a, b = op.bucket_links(np.zeros(len(wide), dtype=np.int64), fps, 3, wide, 40)
         label = dict(zip(a.tolist(), b.tolist(), strict=True))
         assert label == {1: 0, 2: 0}
+
+
+def made_texts(rng, n):
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    return [[rng.choice(vocabulary) for _ in range(rng.randrange(80, 400))] for _ in range(n)]
+
+
+def test_near_dedup_links_appended_and_exchanged_passages(spark):
+    rng = random.Random(11)
+    groups, other = made_texts(rng, 120), made_texts(rng, 120)
+    rows = []
+    for i, (words, new) in enumerate(zip(groups, other, strict=True)):
+        n = len(words)
+        if i % 2:
+            changed = words + new[: n // 6]
+        else:
+            at = rng.randrange(n - n // 20)
+            changed = words[:at] + new[: n // 20] + words[at + n // 20 :]
+        assert 0.8 <= jaccard(" ".join(words), " ".join(changed)) < 0.95
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(changed))]
+    left = {x.doc_id for x in op.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == set(range(120))
+
+
+def test_near_dedup_large_groups_are_compared_whole(spark):
+    """Chains in large buckets: the kept rows are those of all pairs' components."""
+    rng = random.Random(13)
+    base, other = made_texts(rng, 2)
+    base = base[:60] * 3
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(words))
+            words[at] = rng.choice(other)
+        rows.append((i, " ".join(words)))
+    root = list(range(150))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    for i in range(150):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    left = {x.doc_id for x in op.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == set(root) and 1 < len(left)
