@@ -152,6 +152,19 @@ def test_near_dedup_links_appended_and_exchanged_passages(spark):
     assert left == set(range(120))
 
 
+def test_near_dedup_leaves_shuffled_blocks(spark):
+    rng = random.Random(12)
+    rows = []
+    for i, words in enumerate(made_texts(rng, 40)):
+        size = 10 if i % 2 else 4
+        blocks = [words[k : k + size] for k in range(0, len(words), size)]
+        rng.shuffle(blocks)
+        changed = [w for b in blocks for w in b]
+        assert jaccard(" ".join(words), " ".join(changed)) < 0.8
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(changed))]
+    assert op.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 80
+
+
 def test_near_dedup_large_groups_are_compared_whole(spark):
     """Chains in large buckets: the kept rows are those of all pairs' components."""
     rng = random.Random(13)
