@@ -139,14 +139,16 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pat, total): occurrences of each pattern's word in all texts."""
     words = patterns.select(F.substring("pat", 2, 1 << 30).alias("word")).distinct()
     every = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = join_small(every, words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
+    # counted before the join: there may be many patterns, and this shuffles each word once a task
+    counts = join_small(every.groupBy("word").agg(F.count("*").alias("total")), words, "word", "left_semi")
     return patterns.select("pat", F.substring("pat", 2, 1 << 30).alias("word")).join(counts, "word").select("pat", "total")
 
 
 def bootstrap(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(inst, score) of discovered instances."""
     edges = materialise(graph(found), "op2-edges")
-    able = materialise(edges.groupBy("pat").agg(F.count_if("seed").alias("k")).where(F.col("k") >= support).select("pat"), "op2-able")
+    # instances of any kind: later rounds admit patterns by what was discovered
+    able = materialise(edges.groupBy("pat").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("pat"), "op2-able")
     totals = materialise(pattern_totals(docs, able), "op2-totals")
     edges = materialise(edges.join(totals, "pat"), "op2-graph")
     scores = edges.where("seed").select("inst").distinct().withColumn("score", F.lit(1.0))

@@ -64,3 +64,16 @@ def test_contexts_discover(spark, tmp_path):
 def test_empty(spark, rows):
     out = op.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows) and all(not r.spans for r in out)
+
+
+def test_discoveries_teach_patterns(spark):
+    rng = random.Random(4)
+    cards = [c for c in (f"{rng.randrange(10**15, 10**16)}" for _ in range(400)) if luhn(c)][:12]
+    rows = [f"some plain prose the Account: {c} and the rest of it" for c in cards]
+    ids = [f"ZX-99{i}12-Q" for i in range(6)]
+    rows += [f"other prose, account: {x} end" for x in ids] + [f"now comes member {x} too" for x in ids]
+    rows += ["so says member QK-77123-B at once", "only 5551234 of it"]
+    got = {r.doc_id: r.spans for r in op.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    at = rows[24].index("QK")
+    assert [tuple(s) for s in got[24]] == [(at, 4, at + len("QK-77123-B"))]
+    assert got[25] == []
