@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, join_small, let, materialise
 
-_GAP = r"[\x20\x09-\x0D]"
 _LOCAL = r"[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -36,8 +35,6 @@ KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS = 3
 SUPPORT = 3
 CONFIDENCE = 0.5
-#: Characters of a context that are looked at for its nearest word.
-REACH = 80
 #: A candidate has at least this many characters.
 SHORTEST = 5
 _BLOCK = 128
@@ -106,11 +103,15 @@ def base_spans(text: Column) -> Column:
 def _candidates(text: Column, spans: Column) -> Column:
     """array<struct<start, end, inst, left, right, seed>>: candidate words, their neighbours (null: none, or candidates too)."""
 
+    def spaced(piece: Column) -> Column:
+        return F.translate(piece, "\t\n\x0b\x0c\r", " " * 5)
+
     def one(m: Column, start: Column, pieces: Column, i: Column, hits: Column) -> Column:
         lead = F.length(m) - F.length(F.regexp_replace(m, r"^[^\p{L}\p{N}]+", ""))
         inst = F.lower(F.regexp_replace(m, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-        left = F.regexp_extract(F.right(F.get(pieces, i), F.lit(REACH)), rf"([^\x20\x09-\x0D]+){_GAP}*$", 1)
-        right = F.regexp_extract(F.left(F.get(pieces, i + 1), F.lit(REACH)), rf"^{_GAP}*([^\x20\x09-\x0D]+)", 1)
+        # the whole neighbour, however long it or the white space before it is
+        left = F.substring_index(F.rtrim(spaced(F.get(pieces, i))), " ", -1)
+        right = F.substring_index(F.ltrim(spaced(F.get(pieces, i + 1))), " ", 1)
         s = (start + lead).alias("start")
         end = start + lead + F.length(inst)
         seed = F.exists(spans, lambda x: (x["start"] < end) & (x["end"] > start + lead))

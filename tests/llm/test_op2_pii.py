@@ -77,3 +77,15 @@ def test_discoveries_teach_patterns(spark):
     at = rows[24].index("QK")
     assert [tuple(s) for s in got[24]] == [(at, 4, at + len("QK-77123-B"))]
     assert got[25] == []
+
+
+def test_long_neighbours_and_wide_gaps_are_contexts(spark):
+    rng = random.Random(5)
+    cards = [c for c in (f"{rng.randrange(10**15, 10**16)}" for _ in range(400)) if luhn(c)][:12]
+    long = "Account" + "x" * 100 + ":"
+    rows = [f"plain {long} {c} rest" for c in cards[:6]] + [f"plain Holder:{' ' * 100}\t{c} rest" for c in cards[6:]]
+    rows += [f"other {long} ZX-99812-Q end", f"other Holder:\n{' ' * 90}QK-77123-B end"]
+    got = {r.doc_id: r.spans for r in op.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, inst in ((12, "ZX-99812-Q"), (13, "QK-77123-B")):
+        at = rows[i].index(inst)
+        assert [tuple(s) for s in got[i]] == [(at, 4, at + len(inst))]
