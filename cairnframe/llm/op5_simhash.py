@@ -376,8 +376,9 @@ def near_components(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root): components of all confirmed links between rows (key, n, node) of one bucket.
 
     Small buckets compare all pairs.  In a larger one its first rows meet all others, then ever more of them do, until its rows are
-    one component or all have been compared; pairs in one component already, or compared before, are left out.  So a group of
-    near copies costs a few comparisons a row, and no pair that could still join two components is left uncompared.
+    one component or all have been compared; pairs in one component already, or compared before, are left out.  No
+    pair that could still join two components is left uncompared: rows of a large bucket that link with nothing meet all others, so
+    their comparisons grow with the square of such a group.
     """
     spark = buckets.sparkSession
     most = buckets.agg(F.max("n")).first()[0] or 0
