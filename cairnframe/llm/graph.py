@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from .common import drop_scratch, materialise
 
 
+def _written(least: DataFrame) -> DataFrame:
+    """Minima are written before edges join them: AQE cannot split a hub where the join stands right above the aggregation."""
+    return materialise(least, "least")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _written(down.groupBy("u").agg(F.min("v").alias("m")))
     return down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -24,7 +29,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node of its component.
 
     ``edges`` has long columns u and v.  Alternating large-star and small-star steps: minima are aggregated with partial
-    aggregation, hubs only meet skewed joins, which AQE splits; O(log n) rounds, each cut by a table in the shared folder.
+    aggregation, hubs only meet joins with written tables, which AQE splits; O(log n) rounds, each cut by a table in the shared folder.
     """
     e = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None

@@ -13,18 +13,18 @@ spanning forest of its links, never its pairs; distributed large-star/small-star
 
 Defined cases: texts of one or two words are one shingle; null, empty and blank texts have fingerprint zero and link with each
 other like any others; null doc_ids take part, and a component's id is its smallest non-null doc_id (null if it has none);
-repeated rows get the same result; an empty table gives no rows; extra columns are ignored by :func:`classes` and kept by
-:func:`near_dedup`.
+repeated rows get the same result; an empty table gives no rows; extra columns are ignored.  Near copies of whole texts, at a
+Jaccard similarity of 0.8, are the business of :mod:`.op5_near`, which searches by this index first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_scratch, materialise
+from .common import documents, drop_scratch, materialise, partitions
 from .graph import components
 
 RADIUS = 3
@@ -136,28 +136,12 @@ def _roots(n: int, a, b):
     return label
 
 
-def bucket_links(keys, fps, radius: int = RADIUS, wide=None, limit: int = 0):
-    """Spanning links among the rows of whole buckets, as two arrays of row numbers.
-
-    With ``wide`` (rows x words of long fingerprints) a link counts only if these differ in ``limit`` bits at most.  Rows equal in
-    ``fps`` then first meet the first of them; all stay in the search, which skips only pairs that are linked already.
-    """
+def bucket_links(keys, fps, radius: int = RADIUS):
+    """Spanning links among the rows of whole buckets, as two arrays of row numbers."""
     import numpy as np
 
-    def near(i, j):
-        return np.bitwise_count(wide[i] ^ wide[j]).sum(axis=-1, dtype=np.int64) <= limit
-
     order = np.lexsort((gray_rank(fps), keys))
     left, right = [], []
-    tied, place = np.arange(keys.size), np.zeros(keys.size, dtype=np.int64)
-    if wide is not None:
-        k, f = keys[order], fps[order]
-        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])))
-        leader = order[np.repeat(first, np.diff(np.append(first, k.size)))]
-        follows = (leader != order) & near(order, leader)
-        left.append(order[follows])
-        right.append(leader[follows])
-        tied[order[follows]] = leader[follows]
     k, f = keys[order], fps[order]
     starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     sizes = np.diff(np.append(starts, k.size))
@@ -165,27 +149,17 @@ def bucket_links(keys, fps, radius: int = RADIUS, wide=None, limit: int = 0):
     for d in range(1, FAN):  # buckets of one node: neighbours in it
         i = np.flatnonzero((k[:-d] == k[d:]) & small[:-d]) if k.size > d else np.zeros(0, dtype=np.int64)
         i = i[np.bitwise_count(f[i] ^ f[i + d]) <= radius]
-        if wide is not None:
-            i = i[near(order[i], order[i + d])]
         left.append(order[i])
         right.append(order[i + d])
     for s, n in zip(starts[sizes > FAN].tolist(), sizes[sizes > FAN].tolist(), strict=True):
         index = GrayIndex(f[s : s + n])  # already in Gray order
         rows = order[s : s + n]
         seen = np.arange(n)
-        if wide is not None:
-            place[rows] = seen
-            seen = place[tied[rows]]
         for at in range(0, n, 256):
             q, leaf = index.search(index.fps[at : at + 256], radius)
             q = q + at
             forward = leaf > q
             q, leaf = q[forward], leaf[forward]
-            if wide is not None:
-                apart = seen[q] != seen[leaf]  # what is linked already needs no confirming
-                q, leaf = q[apart], leaf[apart]
-                ok = near(rows[q], rows[leaf])
-                q, leaf = q[ok], leaf[ok]
             seen = _roots(n, np.append(q, np.arange(n)), np.append(leaf, seen))
         moved = np.flatnonzero(seen != np.arange(n))
         left.append(rows[moved])
@@ -210,16 +184,11 @@ def _blocks(rows: DataFrame, width: int) -> DataFrame:
     return rows.select(F.explode(F.array(*[one(b) for b in range(4)])).alias("x")).select("x.*")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT, limit: int | None = None) -> DataFrame:
-    """Edges u, v: a spanning forest of every bucket's links.
-
-    ``fps`` has distinct fingerprints in column fp, which are the nodes; with ``limit`` it has node, fp, table (a small number: rows
-    of different tables never meet) and wide (the long fingerprint's bytes), and links differ in ``limit`` of its bits at most.
-    """
+def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Edges u, v: a spanning forest of every bucket's links.  ``fps`` has distinct fingerprints in column fp, which are the nodes."""
     if radius > 3:
         raise ValueError("four blocks find links of at most three differing bits")
-    long = limit is not None
-    rows = fps.select((F.col("table") if long else F.lit(0)).cast("long").alias("key"), F.col("fp").alias("rest"), "fp", *(["node", "wide"] if long else []))
+    rows = fps.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "fp")
     ready = None
     for width in (64, 48, 36):
         rows = _blocks(rows, width)
@@ -238,17 +207,14 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT, limit: int | Non
         import numpy as np
         import pyarrow as pa
 
-        def link(keys, got, nodes, wide):
-            a, b = bucket_links(keys, got, radius, wide if long else None, limit or 0)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["u", "v"])
+        def link(keys, got):
+            a, b = bucket_links(keys, got, radius)
+            signed = got.view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(signed[a]), pa.array(signed[b])], names=["u", "v"])
 
         held = None
         for batch in batches:
             new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)]
-            if long:
-                new += [batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=">u8").astype(np.uint64).reshape(batch.num_rows, -1)]
-            else:
-                new += [batch.column(1).to_numpy(), np.zeros((batch.num_rows, 0), dtype=np.uint64)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if held[0].size > 50_000 and (end := int(np.searchsorted(held[0], held[0][-1]))):  # the last bucket may go on
                 yield link(*(x[:end] for x in held))
@@ -256,9 +222,7 @@ def links(fps: DataFrame, radius: int = RADIUS, hot: int = HOT, limit: int | Non
         if held is not None and held[0].size:
             yield link(*held)
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["key", "fp", *(["node", "wide"] if long else [])]
-    return ready.select(*columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return ready.select("key", "fp").repartition(partitions(fps), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -279,214 +243,6 @@ def _classes(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     return prints.join(named.select("fp", "component_id"), "fp"), named
 
 
-#: Near copies: words in a shingle, and the least Jaccard similarity as a fraction.
-NEAR_SHINGLE = 5
-NEAR = (4, 5)
-#: Candidates agree in all ``ROWS`` minima of one of ``BANDS`` bands.
-BANDS = 20
-ROWS = 4
-#: Buckets up to this size compare all their pairs at once, larger ones begin with ``FIRST`` of their rows.
-SMALL = 8
-FIRST = 2
-
-
-def normalised(text: bytes | None) -> list[bytes]:
-    """The words that shingles are made of."""
-    return (text or b"").translate(_LOWER).split()
-
-
-def near_shingles(words: list[bytes]):
-    """The set of five-word shingles as sorted 64-bit hashes; fewer words are one shingle, no words none."""
-    import numpy as np
-    from xxhash import xxh64_intdigest
-
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.array([xxh64_intdigest(x, SEED) for x in words], dtype=np.uint64)
-    n = min(NEAR_SHINGLE, w.size)
-    h = np.full(w.size - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        h = (h ^ w[i : w.size - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def band_keys(shingles, bands: int = BANDS, rows: int = ROWS):
-    """One key for each band of MinHash values (int64); none for the empty set."""
-    import numpy as np
-
-    if not shingles.size:
-        return np.zeros(0, dtype=np.int64)
-    rng = np.random.default_rng(SEED)
-    salt, factor = rng.integers(0, 2**64, (2, bands * rows, 1), dtype=np.uint64)
-    factor |= np.uint64(1)
-    least = np.full(bands * rows, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, shingles.size, 1024):
-        least = np.minimum(least, ((shingles[at : at + 1024] ^ salt) * factor).min(axis=1))
-    key = np.arange(bands, dtype=np.uint64)
-    for part in least.reshape(bands, rows).T:
-        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
-def text_key(words: list[bytes]) -> bytes:
-    """The same for texts of the same words only."""
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(b" ".join(words))
-
-
-def near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose texts (node, text) have five-word shingles alike enough, by the whole sets."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        held, size = {}, 0
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            nodes = [batch.column(k).to_pylist() for k in (0, 1)]
-            for i in range(batch.num_rows):
-                sets = []
-                for k in (0, 1):
-                    node = nodes[k][i]
-                    if node not in held:
-                        if size > 2_000_000:
-                            held, size = {}, 0
-                        held[node] = near_shingles(normalised(batch.column(2 + k)[i].as_py()))
-                        size += held[node].size
-                    sets.append(held[node])
-                a, b = sets
-                if NEAR[1] * min(a.size, b.size) < NEAR[0] * max(a.size, b.size):
-                    continue
-                # of numbers that are distinct on each side, those on both come twice
-                both = np.sort(np.concatenate(sets))
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = NEAR[1] * common >= NEAR[0] * (a.size + b.size - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["u", "v"])
-
-    left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
-    right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def near_components(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root): components of all confirmed links between rows (key, n, node) of one bucket.
-
-    Small buckets compare all pairs.  In a larger one its first rows meet all others, then ever more of them do, until its rows are
-    one component or all have been compared; pairs in one component already, or compared before, are left out.  No
-    pair that could still join two components is left uncompared: rows of a large bucket that link with nothing meet all others, so
-    their comparisons grow with the square of such a group.
-    """
-    spark = buckets.sparkSession
-    most = buckets.agg(F.max("n")).first()[0] or 0
-    found = spark.createDataFrame([], "node long, root long")
-    edges = tried = None
-    low, high = 0, FIRST
-    while low < most:
-        rows = buckets if edges is None else buckets.where(F.col("n") > SMALL).join(found, "node", "left")
-        rows = rows.withColumn("comp", F.lit(None).cast("long")) if edges is None else rows.withColumn("comp", F.coalesce("root", "node")).drop("root")
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        if edges is None:
-            firsts = ranked.where((F.col("rank") <= SMALL) & ((F.col("n") <= SMALL) | (F.col("rank") <= high)))
-        else:
-            alive = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
-            alive = materialise(alive, "op5-alive")
-            if alive.isEmpty():
-                break
-            rows = rows.join(alive, "key", "left_semi")
-            firsts = ranked.where(F.col("rank") <= high).where(F.col("rank") > low).join(alive, "key", "left_semi")
-        firsts = firsts.select("key", F.col("node").alias("u"), F.col("comp").alias("u_comp"))
-        pairs = firsts.join(rows.select("key", F.col("node").alias("v"), "comp"), "key").where("v > u AND (comp IS NULL OR comp != u_comp)").select("u", "v").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = materialise(pairs, "op5-pairs")
-        new = materialise(near_pairs(pairs, texts), "op5-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = edges is None or not new.isEmpty()
-        edges = new if edges is None else edges.unionByName(new)
-        if fresh:
-            found = materialise(components(edges), "op5-roots")
-        low, high = (high, high * 4) if most > SMALL else (most, most)
-    return found
-
-
-def near_dedup(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """The documents, one (the smallest doc_id) of each group of copies and near copies.
-
-    A link is a pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found by the whole sets
-    (64-bit hashes).  One SimHash at three bits would miss most such pairs, so candidates come from MinHash: pairs that agree in
-    one of ``bands`` bands of ``rows`` minima.  A pair at similarity J is missed with probability (1 - J ** rows) ** bands, at 0.8
-    3 in 100,000.  Texts of the same words collapse first; fewer than five words are one shingle, empty texts are copies.  Of
-    rows that share doc_id and text one stays; null doc_ids come last.
-    """
-    cols = docs.columns
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                words = [normalised(t) for t in some.column(1).to_pylist()]
-                keys = [band_keys(near_shingles(w), bands, rows) for w in words]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([text_key(w) for w in words], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "wide", "keys"])
-
-    # step 1, narrow rows only: one node for each distinct text, and its buckets
-    inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    prints = materialise(inputs.mapInArrow(run, "doc_id long, wide binary, keys array<long>"), "op5-long")
-    nodes = prints.groupBy("wide").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
-    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "wide", "first_id", "keys"), "op5-nodes")
-    each = nodes.select("node", F.explode("keys").alias("key"))
-    shared = materialise(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "op5-shared")
-    buckets = materialise(each.join(shared, "key").select("key", "n", "node"), "op5-buckets")
-    # the texts that candidates are confirmed by: only of nodes that share a bucket
-    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "wide", F.col("first_id").isNull().alias("none"), F.coalesce("first_id", F.lit(0)).alias("id"))
-
-    def named_texts(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            wide = [text_key(normalised(t)) for t in batch.column(1).to_pylist()]
-            yield batch.append_column("wide", pa.array(wide, pa.binary()))
-
-    held = inputs.mapInArrow(named_texts, "doc_id long, text binary, wide binary")
-    held = held.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "wide", "text")
-    held = held.join(wanted.hint("shuffle_hash"), ["none", "id", "wide"]).groupBy("none", "id", "wide").agg(F.first("node").alias("node"), F.first("text").alias("text"))
-    texts = materialise(held.select("node", "text"), "op5-texts")
-    found = near_components(buckets, texts)
-    drop_scratch(shared, buckets, texts)
-    rooted = nodes.join(found, "node", "left").select("wide", "first_id", F.coalesce("root", "node").alias("root"))
-    rooted = materialise(rooted, "op5-rooted")
-    best = materialise(rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("doc_id"), F.col("wide").alias("wide"))).alias("b")).select("b.doc_id", "b.wide"), "op5-best")
-    keep = best.select(F.col("doc_id").alias("keep_id"), "wide")
-    # step 2: the kept document of each group, found by its id; texts move once, and only one row a group is wanted
-    ids = materialise(keep.select("keep_id").where("keep_id IS NOT NULL").distinct(), "op5-ids")
-    drop_scratch(nodes, rooted)
-    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
-    named = docs.select(row, F.col("doc_id").cast("long").alias("keep_id"), F.xxhash64(*[F.col(f"`{c}`") for c in cols]).alias("h"))
-    # a hash join at every size: sorting would sort the texts, too
-    some = named.join(ids.hint("shuffle_hash"), "keep_id", "left_semi")
-    if prints.where("doc_id IS NULL").isEmpty() and prints.count() == prints.select("doc_id").distinct().count():
-        return some.select("row.*")  # ids are keys: the common case
-    # ids repeat or are missing: text keys tell which of their rows was chosen, and one of equal rows stays
-    again = named.where("keep_id IS NULL").unionByName(some)
-
-    def tag(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            wide = [text_key(normalised(t)) for t in batch.column("t").to_pylist()]
-            yield batch.drop_columns(["t"]).append_column("wide", pa.array(wide, pa.binary()))
-
-    schema = again.schema.add("wide", "binary")
-    tagged = again.withColumn("t", F.col("row.text").cast("binary")).mapInArrow(tag, schema)
-    chosen = tagged.join(keep.withColumnRenamed("keep_id", "id"), (tagged.wide == keep.wide) & tagged.keep_id.eqNullSafe(F.col("id"))).select(tagged.wide, tagged.h, tagged.row)
-    return chosen.groupBy("wide").agg(F.min_by("row", "h").alias("row")).select("row.*")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
