@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnframe.llm import op1_quality, op3_order, op5_simhash, op7_decontaminate, op10_mix
+from cairnframe.llm import op1_quality, op3_order, op5_near, op7_decontaminate, op10_mix
 from cairnframe.llm.common import documents, materialise
 
 
@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays."""
-    return op5_simhash.near_dedup(docs)
+    return op5_near.near_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
