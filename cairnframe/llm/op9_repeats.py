@@ -1,6 +1,8 @@
 """Removal of byte strings that occur more than once anywhere in a corpus.
 
-A byte goes if a string of ``length`` bytes that covers it also starts somewhere else; the result is exact.
+A byte goes if a string of ``length`` bytes that covers it also starts somewhere else; the result is exact.  The same search over
+words instead of bytes (:func:`spans` with ``WORDS``) finds passages of ``PASSAGE`` words that start elsewhere, too: many of them
+take under 400 bytes, so they are counted and never cut.
 
 The method asked for, merging shard Burrows-Wheeler transforms by interleave refinement, is in :mod:`.bwt`: it gives the same
 spans on small inputs, and the README has the figures why it cannot carry a corpus.  Here the same question is answered
@@ -30,15 +32,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import delete_path, documents, drop_scratch, materialise, partitions, release_shuffles, scratch_path
 
 LENGTH = 400
 PIECE = 16
+#: Repeated passages have over 50 words.
+PASSAGE = 51
 SEGMENT = 1 << 20
 
+BYTES, WORDS = "bytes", "words"
+#: Windows in a piece, by unit.
+_PIECES = {BYTES: PIECE, WORDS: 4}
+_SPACES = b" \t\n\x0b\x0c\r"
+
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES: dict = {}
 
@@ -70,7 +79,7 @@ def _mixed(x):
 
 
 class Hasher:
-    """Hashes of any substrings of one byte array from prefix sums."""
+    """Hashes of any runs of one array (bytes, or hashes of words) from prefix sums."""
 
     def __init__(self, raw, which=(0, 1)):
         import numpy as np
@@ -79,7 +88,8 @@ class Hasher:
         for i in which:
             values, power, _ = self.made[i]
             s = np.zeros(raw.size + 1, dtype=np.uint64)
-            np.cumsum(values[raw] * power[: raw.size], out=s[1:])
+            value = values[raw] if raw.dtype == np.uint8 else _mixed(raw ^ values[0]) | np.uint64(1)
+            np.cumsum(value * power[: raw.size], out=s[1:])
             self.sums[i] = s
 
     def of(self, i, start, end):
@@ -102,6 +112,19 @@ def hash_spans(raw, start, end, which: int):
     return out
 
 
+def units(text: bytes, unit: str = BYTES):
+    """What windows are counted in: the bytes, or a hash of each word."""
+    import numpy as np
+
+    raw = np.frombuffer(text, dtype=np.uint8)
+    if unit == BYTES:
+        return raw
+    space = np.zeros(256, dtype=bool)
+    space[list(_SPACES)] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], space[raw], [True]])))
+    return hash_spans(raw, edges[::2], edges[1::2], 0)
+
+
 def _sliding_minimum(v, w: int):
     """Minima of v[s:s + w] for all s."""
     import numpy as np
@@ -236,8 +259,9 @@ def _emit(parts, names, types):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def spans(texts: Texts, length: int = LENGTH) -> DataFrame:
-    """key, lo, hi: byte spans of repeated strings, not yet merged."""
+def spans(texts: Texts, length: int = LENGTH, unit: str = BYTES) -> DataFrame:
+    """key, lo, hi: spans of repeated strings in the ``unit`` asked for, not yet merged."""
+    piece, named = _PIECES[unit], f"op9-{unit}-"
 
     def find_anchors(batches: Iterator) -> Iterator:
         import numpy as np
@@ -245,14 +269,14 @@ def spans(texts: Texts, length: int = LENGTH) -> DataFrame:
         for some in _batches(batches, 256):
             parts = []
             for key, n, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                p, a, b, q, e = anchors(np.frombuffer(text, dtype=np.uint8), length)
+                p, a, b, q, e = anchors(units(text, unit), length)
                 if p.size:
                     parts.append((key, np.int64(n), p, a, b, q, e))
             if parts:
                 yield _emit(parts, ["key", "n", "p", "a", "b", "q", "e"], ["key", *"npabqe"])
 
     rows = texts.table().where(F.octet_length("text") >= length).select("key", "n", "text").mapInArrow(find_anchors, "key binary, n long, p long, a long, b long, q long, e long")
-    repeated, rest = _decide(rows, "op9-anchors", "q", "e", ["p", "a", "b"])
+    repeated, rest = _decide(rows, named + "anchors", "q", "e", ["p", "a", "b"])
     first = repeated.select("key", F.col("a").alias("lo"), (F.col("b") + length).alias("hi"))
 
     def find_pieces(batches: Iterator) -> Iterator:
@@ -262,14 +286,14 @@ def spans(texts: Texts, length: int = LENGTH) -> DataFrame:
             parts = []
             for key, text, zones in zip(*(c.to_pylist() for c in some.columns), strict=True):
                 p, a, b, n = (np.array([z[x] for z in zones], dtype=np.int64) for x in ("p", "a", "b", "n"))
-                row, lo, hi, c, u = pieces(np.frombuffer(text, dtype=np.uint8), p, a, b, length)
+                row, lo, hi, c, u = pieces(units(text, unit), p, a, b, length, piece)
                 parts.append((key, n[row], lo, hi, c, u))
             if parts:
                 yield _emit(parts, ["key", "n", "lo", "hi", "c", "u"], ["key", *"nlhcu"])
 
     zones = rest.select("key", F.struct("p", "a", "b", "n").alias("zone"))
     rows = texts.with_zones(zones).mapInArrow(find_pieces, "key binary, n long, lo long, hi long, c long, u long")
-    repeated, rest = _decide(rows, "op9-pieces", "c", "u", ["lo", "hi"])
+    repeated, rest = _decide(rows, named + "pieces", "c", "u", ["lo", "hi"])
     second = repeated.select("key", "lo", (F.col("hi") + length).alias("hi"))
 
     def find_windows(batches: Iterator) -> Iterator:
@@ -282,21 +306,41 @@ def spans(texts: Texts, length: int = LENGTH) -> DataFrame:
                 counts = hi - lo + 1
                 row = np.repeat(np.arange(lo.size), counts)
                 s = lo[row] + np.arange(row.size) - np.repeat(np.cumsum(counts) - counts, counts)
-                raw = np.frombuffer(text, dtype=np.uint8)
+                raw = units(text, unit)
                 parts.append((key, n[row], s, hash_spans(raw, s, s + length, 0), hash_spans(raw, s, s + length, 1)))
             if parts:
                 yield _emit(parts, ["key", "n", "s", "x", "y"], ["key", *"nsxy"])
 
     zones = rest.select("key", F.struct("lo", "hi", "n").alias("zone"))
-    rows = materialise(texts.with_zones(zones).mapInArrow(find_windows, "key binary, n long, s long, x long, y long"), "op9-windows")
-    twice = materialise(rows.groupBy("x", "y").agg(F.sum("n").alias("w")).where("w >= 2").select("x", "y"), "op9-twice")
+    rows = materialise(texts.with_zones(zones).mapInArrow(find_windows, "key binary, n long, s long, x long, y long"), named + "windows")
+    twice = materialise(rows.groupBy("x", "y").agg(F.sum("n").alias("w")).where("w >= 2").select("x", "y"), named + "twice")
     third = rows.join(twice, ["x", "y"]).select("key", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
     return first.unionByName(second).unionByName(third)
 
 
+def covered(found: DataFrame) -> DataFrame:
+    """key, n: what the spans of each key cover, overlaps once."""
+    before = Window.partitionBy("key").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    past = F.coalesce(F.max("hi").over(before), F.lit(0).cast("long"))
+    return found.select("key", F.greatest(F.col("hi") - F.greatest("lo", past), F.lit(0).cast("long")).alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
+
+
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per distinct text with a repeated string: key, spans (maximal runs), n_removed, n_spans, kept_sha256, kept (the bytes left)."""
-    return _removed(Texts(docs), length, True)
+    texts = Texts(docs)
+    try:
+        return materialise(_removed(texts, length, True), "op9-removed")
+    finally:
+        texts.drop()
+
+
+def passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """key, n of each distinct text with a passage of ``words`` words that starts elsewhere, too: the words that such passages cover."""
+    texts = Texts(docs)
+    try:
+        return materialise(covered(spans(texts, words, WORDS)), "op9-passages")
+    finally:
+        texts.drop()
 
 
 def _removed(texts: Texts, length: int, with_bytes: bool) -> DataFrame:
@@ -328,7 +372,7 @@ def _removed(texts: Texts, length: int, with_bytes: bool) -> DataFrame:
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated bytes cut out of ``text``; a character cut in two by a span's edge becomes U+FFFD.  Other columns stay."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("key"))
-    cuts = materialise(removed(docs, length).select("key", "kept"), "op9-kept")
+    cuts = removed(docs, length).select("key", "kept")
     out = rows.join(cuts, "key", "left")
     text = F.when(F.col("kept").isNotNull(), F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("row.text"))
     return out.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
@@ -337,10 +381,13 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     texts = Texts(docs)
-    cuts = materialise(_removed(texts, LENGTH, False).drop("spans"), "op9-cuts")
-    texts.drop()
+    try:
+        cuts = materialise(_removed(texts, LENGTH, False).drop("spans"), "op9-cuts")
+        words = materialise(covered(spans(texts, PASSAGE, WORDS)).select("key", F.col("n").alias("n_passage_words")), "op9-passages")
+    finally:
+        texts.drop()
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     every = docs.select("doc_id", F.unhex(F.md5(raw)).alias("key"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("whole"))
-    out = every.join(cuts, "key", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    out = every.join(cuts.join(words, "key", "full_outer"), "key", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")]
+    return out.select("doc_id", "n_bytes", *counts, F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("n_passage_words", F.lit(0).cast("long")).alias("n_passage_words"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -20,6 +21,13 @@ def brute(texts, length):
     return out
 
 
+def brute_words(texts, length):
+    """Words covered by runs of ``length`` words that also start elsewhere."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in split for i in range(len(w) - length + 1))
+    return [len({i + k for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for k in range(length)}) for w in split]
+
+
 def corpus(seed):
     rng = random.Random(seed)
     words = ["alpha", "béta", "gam", "d", "epsilon", "zetaß", "eta", "theta"]
@@ -52,13 +60,23 @@ def test_equals_brute_force(spark, seed):
         assert by_key.get(hashlib.md5(raw).digest(), (0, 0, hashlib.sha256(raw).hexdigest())) == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_equal_brute_force(spark, seed):
+    texts, length = corpus(seed), 9
+    texts += [t.replace(" ", "\n \t") for t in texts if t][:8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {bytes(r.key): r.n for r in op.passages(docs, length).collect()}
+    want = brute_words(texts, length)
+    assert [got.get(hashlib.md5((t or "").encode()).digest(), 0) for t in texts] == want and sum(want) > 500
+
+
 def test_query_and_repeated_rows(spark, tmp_path):
     rng = random.Random(9)
     long = "".join(rng.choice("abcdefgh ") for _ in range(3000))
     texts = [long, long[500:1200], long[:399], "x" + long[:400], None, "", long]
     spark.createDataFrame([(i % 5, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op.query(spark, str(tmp_path)).collect())
-    want = sorted((i % 5, len((t or "").encode()), *w) for i, (t, w) in enumerate(zip(texts, brute(texts, 400))))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in op.query(spark, str(tmp_path)).collect())
+    want = sorted((i % 5, len((t or "").encode()), *w, n) for i, (t, w, n) in enumerate(zip(texts, brute(texts, 400), brute_words(texts, 51), strict=True)))
     assert got == want
 
 
