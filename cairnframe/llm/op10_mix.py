@@ -11,8 +11,8 @@ Defined cases:
 
 * null or empty text: size 0, never taken more than 0 words; its copies follow the rate of its source all the same.
 * null source: a source of its own, the last.
-* null doc_id: the draw comes from the text instead, so such documents are drawn apart.
-* repeated rows: each counts; rows with one doc_id share a draw.
+* the draw comes from doc_id and text, so rows that share one of them are drawn apart; null doc_ids count as one more id.
+* repeated rows: each counts; rows equal in doc_id and text share a draw.
 * a source of size 0: target 0, rate 0.  Empty table: no rows.
 * extra columns, also ones named like this module's own, go through :func:`mix` untouched.
 """
@@ -37,8 +37,8 @@ def word_count(text: Column) -> Column:
 
 def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) that only the document and the seed decide: the first 52 bits of an MD5."""
-    key = F.coalesce(doc_id.cast("string"), F.md5(text.cast("binary")), F.lit(""))
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key).cast("binary")), 1, 13), 16, 10).cast("long")
+    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    bits = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long")
     return bits.cast("double") / F.lit(float(2**52))
 
 
@@ -113,7 +113,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t
 )
 SELECT d.doc_id, d.size, p.source_size, p.target,
-  (d.size * (floor(p.rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, md5(d.text), '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
+  (d.size * (floor(p.rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0
       < p.rate - floor(p.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 """

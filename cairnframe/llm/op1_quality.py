@@ -204,6 +204,10 @@ def _stratum(lang: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
 
 
+#: Ids of labelled documents that may be broadcast: some 16 MB.
+LABELS = 500_000
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, stratum, x: the numbers of every document."""
     return docs.select("doc_id", _stratum(F.col("lang")).alias("stratum"), numbers(F.col("text")).alias("x"))
@@ -221,9 +225,14 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that base rules and certified rules keep, with the columns they came with.
 
-    The numbers are computed a second time where they are applied: that costs less than shuffling every text to join them.
+    The numbers of labelled documents are computed a second time where they are applied: that costs less than shuffling every text
+    to join them.  Up to ``LABELS`` labelled ids are broadcast to find these documents; with more, all are measured.
     """
-    measured = materialise(measure(docs), "op1-numbers")
+    some = materialise(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct(), "op1-ids")
+    if some.limit(LABELS + 1).count() <= LABELS:
+        measured = materialise(measure(docs.join(F.broadcast(some), "doc_id", "left_semi")), "op1-numbers")
+    else:
+        measured = materialise(measure(docs), "op1-numbers")
     cutoffs = materialise(calibrate(measured, labels, alpha, delta), "op1-cutoffs")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _stratum(F.col("lang")).alias("stratum"), numbers(F.col("text")).alias("x"))
     out = join_small(rows, cutoffs, "stratum", "left")

@@ -50,7 +50,7 @@ def test_targets_and_copies(spark):
     for d, t, s, _ in rows:
         if d is None:
             continue
-        u = int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"mix-1:{d}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
         n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
         if d != 7:
             assert by[d].taken == n * (int(rate[s]) + (u < rate[s] - int(rate[s])))
