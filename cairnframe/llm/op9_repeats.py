@@ -1,8 +1,8 @@
 """Removal of byte strings that occur more than once anywhere in a corpus.
 
 A byte goes if a string of ``length`` bytes that covers it also starts somewhere else; the result is exact.  The same search over
-words instead of bytes (:func:`spans` with ``WORDS``) finds passages of ``PASSAGE`` words that start elsewhere, too: many of them
-take under 400 bytes, so they are counted and never cut.
+words instead of bytes finds passages of ``PASSAGE`` words that start elsewhere, too: many of them take under 400 bytes, so they
+are counted and never cut.  Both searches share every pass; the unit is part of their hashes.
 
 The method asked for, merging shard Burrows-Wheeler transforms by interleave refinement, is in :mod:`.bwt`: it gives the same
 spans on small inputs, and the README has the figures why it cannot carry a corpus.  Here the same question is answered
@@ -43,7 +43,7 @@ PIECE = 16
 PASSAGE = 51
 SEGMENT = 1 << 20
 
-BYTES, WORDS = "bytes", "words"
+BYTES, WORDS = 0, 1
 #: Windows in a piece, by unit.
 _PIECES = {BYTES: PIECE, WORDS: 4}
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -112,7 +112,7 @@ def hash_spans(raw, start, end, which: int):
     return out
 
 
-def units(text: bytes, unit: str = BYTES):
+def units(text: bytes, unit: int = BYTES):
     """What windows are counted in: the bytes, or a hash of each word."""
     import numpy as np
 
@@ -259,9 +259,23 @@ def _emit(parts, names, types):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def spans(texts: Texts, length: int = LENGTH, unit: str = BYTES) -> DataFrame:
-    """key, lo, hi: spans of repeated strings in the ``unit`` asked for, not yet merged."""
-    piece, named = _PIECES[unit], f"op9-{unit}-"
+def _by_unit(zones: list[dict], fields: str) -> Iterator:
+    """(unit, arrays of the fields) of a text's zones."""
+    import numpy as np
+
+    for unit in sorted({z["unit"] for z in zones}):
+        yield unit, tuple(np.array([z[x] for z in zones if z["unit"] == unit], dtype=np.int64) for x in fields.split())
+
+
+def _tagged(h, unit: int):
+    """Hashes that differ between units."""
+    import numpy as np
+
+    return h if unit == BYTES else _mixed(h ^ np.uint64(0xA24BAED4963EE407))
+
+
+def spans(texts: Texts, lengths: dict[int, int]) -> DataFrame:
+    """key, unit, lo, hi: spans of repeated strings, not yet merged, for each unit in ``lengths``."""
 
     def find_anchors(batches: Iterator) -> Iterator:
         import numpy as np
@@ -269,32 +283,33 @@ def spans(texts: Texts, length: int = LENGTH, unit: str = BYTES) -> DataFrame:
         for some in _batches(batches, 256):
             parts = []
             for key, n, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                p, a, b, q, e = anchors(units(text, unit), length)
-                if p.size:
-                    parts.append((key, np.int64(n), p, a, b, q, e))
+                for unit, length in lengths.items():
+                    p, a, b, q, e = anchors(units(text, unit), length)
+                    if p.size:
+                        parts.append((key, np.int64(n), np.int64(unit), p, a, b, _tagged(q, unit), _tagged(e, unit)))
             if parts:
-                yield _emit(parts, ["key", "n", "p", "a", "b", "q", "e"], ["key", *"npabqe"])
+                yield _emit(parts, ["key", "n", "unit", "p", "a", "b", "q", "e"], ["key", *"nupabqe"])
 
-    rows = texts.table().where(F.octet_length("text") >= length).select("key", "n", "text").mapInArrow(find_anchors, "key binary, n long, p long, a long, b long, q long, e long")
-    repeated, rest = _decide(rows, named + "anchors", "q", "e", ["p", "a", "b"])
-    first = repeated.select("key", F.col("a").alias("lo"), (F.col("b") + length).alias("hi"))
+    least = min(length if unit == BYTES else 2 * length - 1 for unit, length in lengths.items())
+    rows = texts.table().where(F.octet_length("text") >= least).select("key", "n", "text").mapInArrow(find_anchors, "key binary, n long, unit long, p long, a long, b long, q long, e long")
+    repeated, rest = _decide(rows, "op9-anchors", "q", "e", ["unit", "p", "a", "b"])
+    long = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in lengths.items() for x in kv]), F.col("unit"))
+    first = repeated.select("key", "unit", F.col("a").alias("lo"), (F.col("b") + long).alias("hi"))
 
     def find_pieces(batches: Iterator) -> Iterator:
-        import numpy as np
-
         for some in _batches(batches, 128):
             parts = []
             for key, text, zones in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                p, a, b, n = (np.array([z[x] for z in zones], dtype=np.int64) for x in ("p", "a", "b", "n"))
-                row, lo, hi, c, u = pieces(units(text, unit), p, a, b, length, piece)
-                parts.append((key, n[row], lo, hi, c, u))
+                for unit, (p, a, b, n) in _by_unit(zones, "p a b n"):
+                    row, lo, hi, c, u = pieces(units(text, unit), p, a, b, lengths[unit], _PIECES[unit])
+                    parts.append((key, n[row], lo * 0 + unit, lo, hi, _tagged(c, unit), _tagged(u, unit)))
             if parts:
-                yield _emit(parts, ["key", "n", "lo", "hi", "c", "u"], ["key", *"nlhcu"])
+                yield _emit(parts, ["key", "n", "unit", "lo", "hi", "c", "u"], ["key", *"ntlhcu"])
 
-    zones = rest.select("key", F.struct("p", "a", "b", "n").alias("zone"))
-    rows = texts.with_zones(zones).mapInArrow(find_pieces, "key binary, n long, lo long, hi long, c long, u long")
-    repeated, rest = _decide(rows, named + "pieces", "c", "u", ["lo", "hi"])
-    second = repeated.select("key", "lo", (F.col("hi") + length).alias("hi"))
+    zones = rest.select("key", F.struct("unit", "p", "a", "b", "n").alias("zone"))
+    rows = texts.with_zones(zones).mapInArrow(find_pieces, "key binary, n long, unit long, lo long, hi long, c long, u long")
+    repeated, rest = _decide(rows, "op9-pieces", "c", "u", ["unit", "lo", "hi"])
+    second = repeated.select("key", "unit", "lo", (F.col("hi") + long).alias("hi"))
 
     def find_windows(batches: Iterator) -> Iterator:
         import numpy as np
@@ -302,19 +317,19 @@ def spans(texts: Texts, length: int = LENGTH, unit: str = BYTES) -> DataFrame:
         for some in _batches(batches, 128):
             parts = []
             for key, text, zones in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                lo, hi, n = (np.array([z[x] for z in zones], dtype=np.int64) for x in ("lo", "hi", "n"))
-                counts = hi - lo + 1
-                row = np.repeat(np.arange(lo.size), counts)
-                s = lo[row] + np.arange(row.size) - np.repeat(np.cumsum(counts) - counts, counts)
-                raw = units(text, unit)
-                parts.append((key, n[row], s, hash_spans(raw, s, s + length, 0), hash_spans(raw, s, s + length, 1)))
+                for unit, (lo, hi, n) in _by_unit(zones, "lo hi n"):
+                    counts = hi - lo + 1
+                    row = np.repeat(np.arange(lo.size), counts)
+                    s = lo[row] + np.arange(row.size) - np.repeat(np.cumsum(counts) - counts, counts)
+                    raw, end = units(text, unit), s + lengths[unit]
+                    parts.append((key, n[row], s * 0 + unit, s, _tagged(hash_spans(raw, s, end, 0), unit), _tagged(hash_spans(raw, s, end, 1), unit)))
             if parts:
-                yield _emit(parts, ["key", "n", "s", "x", "y"], ["key", *"nsxy"])
+                yield _emit(parts, ["key", "n", "unit", "s", "x", "y"], ["key", *"ntsxy"])
 
-    zones = rest.select("key", F.struct("lo", "hi", "n").alias("zone"))
-    rows = materialise(texts.with_zones(zones).mapInArrow(find_windows, "key binary, n long, s long, x long, y long"), named + "windows")
-    twice = materialise(rows.groupBy("x", "y").agg(F.sum("n").alias("w")).where("w >= 2").select("x", "y"), named + "twice")
-    third = rows.join(twice, ["x", "y"]).select("key", F.col("s").alias("lo"), (F.col("s") + length).alias("hi"))
+    zones = rest.select("key", F.struct("unit", "lo", "hi", "n").alias("zone"))
+    rows = materialise(texts.with_zones(zones).mapInArrow(find_windows, "key binary, n long, unit long, s long, x long, y long"), "op9-windows")
+    twice = materialise(rows.groupBy("x", "y").agg(F.sum("n").alias("w")).where("w >= 2").select("x", "y"), "op9-twice")
+    third = rows.join(twice, ["x", "y"]).select("key", "unit", F.col("s").alias("lo"), (F.col("s") + long).alias("hi"))
     return first.unionByName(second).unionByName(third)
 
 
@@ -329,7 +344,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per distinct text with a repeated string: key, spans (maximal runs), n_removed, n_spans, kept_sha256, kept (the bytes left)."""
     texts = Texts(docs)
     try:
-        return materialise(_removed(texts, length, True), "op9-removed")
+        return materialise(_removed(texts, spans(texts, {BYTES: length}), True), "op9-removed")
     finally:
         texts.drop()
 
@@ -338,12 +353,12 @@ def passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
     """key, n of each distinct text with a passage of ``words`` words that starts elsewhere, too: the words that such passages cover."""
     texts = Texts(docs)
     try:
-        return materialise(covered(spans(texts, words, WORDS)), "op9-passages")
+        return materialise(covered(spans(texts, {WORDS: words})), "op9-passages")
     finally:
         texts.drop()
 
 
-def _removed(texts: Texts, length: int, with_bytes: bool) -> DataFrame:
+def _removed(texts: Texts, found: DataFrame, with_bytes: bool) -> DataFrame:
     schema = "key binary, spans array<struct<lo:long,hi:long>>, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
 
     def cut(batches: Iterator) -> Iterator:
@@ -365,7 +380,7 @@ def _removed(texts: Texts, length: int, with_bytes: bool) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    zones = spans(texts, length).distinct().select("key", F.struct("lo", "hi").alias("zone"))
+    zones = found.where(F.col("unit") == BYTES).select("key", "lo", "hi").distinct().select("key", F.struct("lo", "hi").alias("zone"))
     return texts.with_zones(zones).mapInArrow(cut, schema)
 
 
@@ -382,8 +397,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     texts = Texts(docs)
     try:
-        cuts = materialise(_removed(texts, LENGTH, False).drop("spans"), "op9-cuts")
-        words = materialise(covered(spans(texts, PASSAGE, WORDS)).select("key", F.col("n").alias("n_passage_words")), "op9-passages")
+        found = spans(texts, {BYTES: LENGTH, WORDS: PASSAGE})
+        cuts = materialise(_removed(texts, found, False).drop("spans"), "op9-cuts")
+        words = materialise(covered(found.where(F.col("unit") == WORDS)).select("key", F.col("n").alias("n_passage_words")), "op9-passages")
     finally:
         texts.drop()
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
