@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import tomllib
+from dataclasses import dataclass, fields, replace
+from pathlib import Path
 
 # fixed values of the storage format
 GRAIN = 4096
@@ -57,6 +59,8 @@ class ServerConfig:
     object_address: str = "0.0.0.0:8881"
     operator_address: str = "0.0.0.0:8882"
     group_id: int = 1
+    heartbeat_s: float = 10.0
+    snapshot_s: float = 10.0
 
 
 @dataclass(frozen=True)
@@ -87,3 +91,21 @@ def register_version(version: int, config: ExtentConfig) -> None:
 
 def advertised_versions() -> list[int]:
     return sorted(EXTENT_VERSIONS)
+
+
+def _section(kind: type, given: dict, name: str):
+    unknown = set(given) - {f.name for f in fields(kind)}
+    if unknown:
+        raise ValueError(f"[{name}] has no option {', '.join(sorted(unknown))}")
+    return kind(**given)
+
+
+def load(path: str | Path) -> tuple[ServerConfig, ExtentConfig, PerfConfig]:
+    """The sections ``server``, ``extent`` and ``perf`` of a TOML file; what it leaves out has its default, what it misspells is refused."""
+    with open(path, "rb") as f:
+        found = tomllib.load(f)
+    unknown = set(found) - {"server", "extent", "perf"}
+    if unknown:
+        raise ValueError(f"no section {', '.join(sorted(unknown))}")
+    server, extent, perf = (_section(k, found.get(n, {}), n) for k, n in ((ServerConfig, "server"), (ExtentConfig, "extent"), (PerfConfig, "perf")))
+    return server, extent.adjusted(), perf

@@ -30,6 +30,13 @@ def export_chunks(index: DataFrame, per_piece: int = OIDS_PER_PIECE) -> DataFram
     return chunks.agg(F.count("*").alias("n"), F.min("digest").alias("first_digest"), F.max("digest").alias("last_digest")).withColumn("n_bytes", F.col("n") * 8)
 
 
+def export_pieces(index: DataFrame, per_piece: int = OIDS_PER_PIECE) -> DataFrame:
+    """ext_id, piece, digests: the lists themselves, at most ``per_piece`` ids each, in order."""
+    keys = index.select(*KEY).distinct()
+    at = F.row_number().over(Window.partitionBy("ext_id").orderBy("digest")) - 1
+    return keys.withColumn("piece", F.floor(at / per_piece).cast("long")).groupBy("ext_id", "piece").agg(F.array_sort(F.collect_list("digest")).alias("digests"))
+
+
 def export_summary(extents: DataFrame, index: DataFrame, per_piece: int = OIDS_PER_PIECE) -> DataFrame:
     """ext_id, total, kind: Nop for an empty extent, Normal for one piece, Link for more."""
     n = index.select(*KEY).distinct().groupBy("ext_id").agg(F.count("*").alias("total"))

@@ -607,3 +607,6 @@ def stream_index_state(spark, sf_dir):
     out = scratch_path(spark, "index-state")
     index_state.start(ops, f"{out}/states", f"{out}/checkpoint").awaitTermination()
     return index_state.newest(spark, f"{out}/states")
+
+
+from . import files  # noqa: E402, F401  (its queries register themselves)

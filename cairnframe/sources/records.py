@@ -136,6 +136,12 @@ def read_snapshot_block(raw: bytes) -> tuple[int, list[tuple[int, int, int, int]
     return slot_cnt, [unpack_entry(body[8 + 9 * i : 17 + 9 * i]) for i in range(n)]
 
 
+def opened_block(raw: bytes) -> bytes:
+    """The entries of a checked block, nine bytes each."""
+    body = _opened(raw, SNAP_BLOCK, "snapshot block")
+    return body[8 : 8 + 9 * struct.unpack_from("<I", body, 4)[0]]
+
+
 def delete_chunk(ts: int, digests: list[int], batch: bool = False) -> bytes:
     """A single delete takes a block; a batch as many as its list needs."""
     if not batch and len(digests) != 1:
