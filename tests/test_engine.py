@@ -56,11 +56,15 @@ def test_life_of_a_catalogue(spark, tmp_path):
     assert live(engine) == left
     assert [x.err for x in engine.delete(spark.createDataFrame(keys[:1], "ext_id long, digest long")).collect()] == ["NotFound"]
     assert "ObjectDirtyDeleted" in {x.err for x in engine.put(first).collect()}
+    sealed = engine.segments().where("state = 'Sealed'").collect()
+    assert sealed and all(x.sealed_hours > 0 for x in sealed)
 
-    for _ in range(2):  # collection keeps the live set and frees space, again and again
+    assert {x.addr // 8 for x in engine.gc(0.01).collect()} <= {0}  # no snapshot covers what was opened since
+    engine.snapshot()
+    for turn in range(2):  # collection keeps the live set and frees space, again and again
         before = engine.segments().where("state = 'Ready'").count()
         moves = engine.gc(0.01)
-        assert moves.count() > 0 or _ == 1
+        assert moves.count() > 0 or turn == 1
         assert live(engine) == left
         no_overlap(engine)
         assert engine.segments().where("state = 'Ready'").count() >= before
