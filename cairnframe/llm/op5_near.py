@@ -7,7 +7,8 @@ where candidates come from:
    bits on average, so this alone would find few of them.
 2. MinHash, for what SimHash misses: pairs that agree in one of ``BANDS`` bands of ``ROWS`` minima.  A pair at similarity J is
    missed with probability (1 - J ** ROWS) ** BANDS, at 0.8 3 in 100,000.  Buckets of ``SMALL`` nodes compare all pairs; of
-   larger ones the first node meets all others.
+   larger ones the most central node (that shares its buckets with most others) meets all others, and in ``ROUNDS`` more rounds
+   the most central one outside the bucket's largest component meets those of other components.
 3. What large buckets leave in several components meets by an exact prefix filter.  All shingles of these nodes are put
    in one order: first those that only one component has, then by frequency.  Two sets that are alike enough share one of their
    first ``size - 0.8 size + 1`` shingles, and their first common shingle, at positions i and j, bounds what they share by
@@ -38,6 +39,7 @@ NEAR = (4, 5)
 BANDS = 20
 ROWS = 4
 SMALL = 8
+ROUNDS = 2
 
 
 def normalised(text: bytes | None) -> list[bytes]:
@@ -153,15 +155,26 @@ def near_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def first_pairs(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Candidates (u, v): SimHash links, all pairs of small buckets, the first node of large ones with the others."""
+    """Candidates (u, v): SimHash links, and all pairs of small buckets."""
     fps = materialise(nodes.where("size > 0").groupBy("fp").agg(F.min(F.struct("node", "size")).alias("r")).select("fp", F.col("r.node").alias("node"), F.col("r.size").alias("size")), "near-fps")
     a, b = (fps.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node"), F.col("size").alias(f"{x}_size")) for x in "uv")
     gray = links(fps.select("fp")).join(a, "u").join(b, "v").where(_sized("u_size", "v_size")).select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v"))
     same = nodes.where("size > 0").join(fps.select("fp", F.col("node").alias("u"), F.col("size").alias("u_size")), "fp").where((F.col("node") > F.col("u")) & _sized("size", "u_size")).select("u", F.col("node").alias("v"))
-    least = materialise(buckets.where(F.col("n") > SMALL).groupBy("key").agg(F.min(F.struct("node", "size")).alias("r")).select("key", F.col("r.node").alias("u"), F.col("r.size").alias("u_size")), "near-least")
-    small = buckets.where(F.col("n") <= SMALL).select("key", F.col("node").alias("u"), F.col("size").alias("u_size"))
-    met = [x.join(buckets.where(c).select("key", "node", "size"), "key").where((F.col("node") > F.col("u")) & _sized("size", "u_size")).select("u", F.col("node").alias("v")) for x, c in ((least, F.col("n") > SMALL), (small, F.col("n") <= SMALL))]
-    return gray.unionByName(same).unionByName(met[0]).unionByName(met[1]).distinct()
+    few = [buckets.where(F.col("n") <= SMALL).select("key", F.col("node").alias(f"{x}_node"), F.col("size").alias(f"{x}_size")) for x in "uv"]
+    small = few[0].join(few[1], "key").where((F.col("v_node") > F.col("u_node")) & _sized("u_size", "v_size")).select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    return gray.unionByName(same).unionByName(small).distinct()
+
+
+def leader_pairs(large: DataFrame) -> DataFrame:
+    """Candidates (u, v): in each bucket of ``large`` (key, node, size, weight, comp) one node with those of other components.
+
+    It is the heaviest outside the bucket's largest component; where each node is a component of its own, the heaviest but the first.
+    """
+    per = materialise(large.groupBy("key", "comp").agg(F.count("*").alias("k"), F.max(F.struct("weight", "node", "size", "comp")).alias("r")), "near-per-comp")
+    most = materialise(per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("most")), "near-most")
+    leaders = materialise(per.join(most, "key").where("comp != most").groupBy("key").agg(F.max("r").alias("r")).select("key", F.col("r.node").alias("l"), F.col("r.size").alias("l_size"), F.col("r.comp").alias("l_comp")), "near-leaders")
+    out = large.join(leaders, "key").where((F.col("comp") != F.col("l_comp")) & _sized("size", "l_size"))
+    return out.select(F.least("node", "l").alias("u"), F.greatest("node", "l").alias("v")).distinct()
 
 
 def rest_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,18 +206,26 @@ def groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[DataF
     shared = materialise(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared-keys")
     buckets = materialise(each.join(shared, "key").select("key", "n", "node", "size"), "near-buckets")
     pairs = materialise(first_pairs(nodes, buckets), "near-pairs")
+    weights = buckets.where(F.col("n") > SMALL).groupBy("node").agg(F.sum("n").alias("weight"))
+    large = materialise(buckets.where(F.col("n") > SMALL).select("key", "node", "size").join(materialise(weights, "near-weights"), "node"), "near-large")
     # the sets of what is compared now, and of large buckets, which may be compared later
-    some = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(buckets.where(F.col("n") > SMALL).select("node")).distinct()
+    some = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(large.select("node")).distinct()
     sets = materialise(_shingle_sets(inputs, nodes.join(some, "node", "left_semi").select("node", "first_id", "text_key")), "near-sets")
     edges = materialise(near_pairs(pairs, sets), "near-links")
     found = materialise(components(edges), "near-roots")
-    large = materialise(buckets.where(F.col("n") > SMALL).select("key", "node", "size").join(found, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("comp")), "near-large")
-    alive = materialise(large.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key"), "near-alive")
-    left = materialise(large.join(alive, "key", "left_semi").select("node", "size", "comp").distinct(), "near-left")
-    if not left.isEmpty():
-        more = materialise(near_pairs(materialise(rest_pairs(left, sets), "near-rest"), sets), "near-more")
-        found = materialise(components(edges.unionByName(more)), "near-roots")
-    drop_scratch(shared, buckets, pairs, sets, large, alive, left)
+    for turn in range(ROUNDS + 2):
+        named = materialise(large.join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "near-named")
+        alive = materialise(named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key"), "near-alive")
+        if alive.isEmpty():
+            break
+        named = named.join(alive, "key", "left_semi")
+        if turn <= ROUNDS:
+            more = leader_pairs(named)
+        else:  # whatever is left, by the filter that loses nothing
+            more = rest_pairs(materialise(named.select("node", "size", "comp").distinct(), "near-left"), sets)
+        edges = edges.unionByName(materialise(near_pairs(materialise(more, "near-more"), sets), "near-links"))
+        found = materialise(components(edges), "near-roots")
+    drop_scratch(shared, buckets, pairs, sets, large)
     out = materialise(nodes.join(found, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "near-rooted")
     drop_scratch(nodes)
     return prints.select("doc_id", "text_key"), out
