@@ -4,11 +4,11 @@ The benchmark is a stated query set.  Its items come to the driver in groups of
 over the documents, so a larger benchmark costs more passes and not more memory.
 
 1. Document frequencies of the items' words, and of all words hashed to ``BUCKETS``, over *all* documents: partial counts per
-   task, summed by word.
-2. A randomised SVD of TF-IDF passages over the hashed vocabulary (``FIT_DOCS`` distinct texts, the first by their hash; the bound is
-   documented as the index's fitting sample, and it is read once): executors form A'(A O) for a Gaussian O, once more
-   for its orthonormal basis Q, then (A Q)'(A Q), whose eigenvectors turn Q into the leading right singular vectors.  Items and windows are projected
-   on these, whether the benchmark has their words or not: that is the latent space.
+   task, summed by word.  The same pass writes every text's hashed words, two bytes each.
+2. A randomised SVD of the TF-IDF passages of *all* distinct texts (rows of the same hashed words are one text, so that copies do not
+   fill the space) over the hashed vocabulary: executors form A'(A O) for a Gaussian O, then Y = A'(A Q) for its orthonormal basis Q, and
+   Y (Q'Y)^-1 Y' (Nystroem) has the leading right singular vectors.  Items and windows are projected on these, whether the benchmark has
+   their words or not: that is the latent space.
 3. Every document is cut into overlapping windows of words at the scales its items need.  A window's vector is a
    difference of prefix sums.  Candidates are windows at a cosine of ``LATENT`` or more to an item in the latent space, and those
    at ``COSINE`` or more by the items' own words (postings), so that neither a paraphrase in other words nor an item that the
@@ -17,7 +17,7 @@ over the documents, so a larger benchmark costs more passes and not more memory.
 4. A candidate is confirmed by the longest common subsequence of words, in one and a half times the item's length somewhere in
    the window or just beside it: ``LCS`` of the item's words, or ``LCS_WITH_ANSWER`` of them if ``ANSWER`` of its last words (where an item has its answer) are there too.
 
-Words are lower-cased; ASCII punctuation separates.  Texts are never shuffled.
+Words are lower-cased; ASCII punctuation separates.  Texts are never shuffled; their hashed words are, once.
 
 Defined cases: null, empty and blank texts and items match nothing; items under ``SHORTEST`` words must be there entire and in
 one piece; repeated rows and repeated items each count; null doc_ids are searched like others; long texts are searched whole, a
@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,13 @@ LCS_WITH_ANSWER, ANSWER = 0.55, 0.8
 SHORTEST = 6
 #: Words in more than this share of the documents are left out of the vectors (not of the checks).
 COMMON = 0.1
-FIT_DOCS = 2000
 FIT_WINDOW = 64
-FIT_TASKS = 8
+#: Bytes of hashed words handled at once (or one text), passages in one matrix product, parts in which executors sum a matrix, and
+#: tasks a core that make one: the matrices shuffled grow with the cores, not with the documents.
+FIT_BYTES = 1 << 20
+FIT_ROWS = 24
+FIT_PARTS = 64
+FIT_TASKS = 2
 RANK = 32
 BUCKETS = 1 << 14
 GROUP = 1024
@@ -233,7 +238,7 @@ class Searcher:
         """Latent prefix sums by blocks of ``UNIT`` words."""
         import numpy as np
 
-        part = self.latent.space[buckets]
+        part = self.latent.space.take(buckets, axis=0)
         sums = np.zeros((len(part) // UNIT + 1, part.shape[1]), dtype=np.float32)
         np.cumsum(part.reshape(-1, UNIT, part.shape[1]).sum(axis=1), axis=0, out=sums[1:])
         return sums
@@ -254,17 +259,26 @@ class Searcher:
         sizes = np.array([-(-len(w) // gap) * gap + gap for w in texts])
         offsets = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
-        ids, buckets = np.zeros(total, dtype=np.int64), np.full(total + gap, BUCKETS, dtype=np.int64)
-        get = self.ids.get
+        ids = np.zeros(total, dtype=np.int64)
         for at, words in zip(offsets.tolist(), texts, strict=True):
             if words:
-                ids[at : at + len(words)] = [get(w, 0) for w in words]
-                buckets[at : at + len(words)] = buckets_of(words)
+                ids[at : at + len(words)] = np.fromiter(map(self.ids.get, words, repeat(0)), np.int64, len(words))
+
+        def buckets(low: int, high: int):
+            """Of the words from ``low`` to ``high``, texts and gaps."""
+            out = np.full(high - low, BUCKETS, dtype=np.int64)
+            for t in range(max(0, int(np.searchsorted(offsets, low, side="right")) - 1), int(np.searchsorted(offsets, high))):
+                at = int(offsets[t])
+                if words := texts[t][max(0, low - at) : high - at]:
+                    at = max(at, low) - low
+                    out[at : at + len(words)] = buckets_of(words)
+            return out
+
         place = np.flatnonzero(ids)
         got = ids[place]
         found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
         for low in range(0, total, SPAN):  # a span at a time, with the largest window's overlap
-            sums = cache(lambda low=low: self._sums(buckets[low : low + SPAN + gap]))  # where they are asked for
+            sums = cache(lambda low=low: self._sums(buckets(low, min(low + SPAN, total) + gap)))  # where they are asked for
             for scale in self.scales:
                 for k, start, cosine in scale.candidates(place, got, self.squares, low, low + SPAN, total, sums, self.limits):
                     t = int(np.searchsorted(offsets, start + scale.window, side="left")) - 1
@@ -301,88 +315,134 @@ def _load(benchmark: DataFrame) -> Iterator[list[Item]]:
         yield group
 
 
-def _frequencies(docs: DataFrame, vocabulary: dict, hashed: bool) -> tuple[dict, dict, int]:
-    """Documents that have each word of the vocabulary, each bucket (if ``hashed``), and those with words: all of them are counted."""
+def _frequencies(docs: DataFrame, vocabulary: dict, hashed: bool) -> tuple[dict, dict, int, DataFrame | None]:
+    """Documents that have each word of the vocabulary, each bucket (if ``hashed``), and those with words: all of them are counted.
+
+    If ``hashed``, the last is a table of the buckets of every text's words, a row for each text with words.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        def rows(ids: list, word: list, n: list):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(word, pa.int64()), pa.array(n, pa.int64())], names=["ids", "word", "n"])
+
         size = len(vocabulary)
         counts, n = np.zeros(size + BUCKETS * hashed, dtype=np.int64), 0
         for batch in batches:
+            texts = []
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 n += bool(words)
-                distinct = set(words)
-                counts[[vocabulary[w] for w in vocabulary.keys() & distinct]] += 1
-                if hashed:  # a bucket of several words counts once
-                    counts[size + buckets_of(list(distinct))] += 1
+                counts[[vocabulary[w] for w in vocabulary.keys() & set(words)]] += 1
+                if hashed and words:
+                    ids = buckets_of(words)
+                    counts[size + ids] += 1  # a bucket of several words counts once
+                    texts.append(ids.astype("<u2").tobytes())
+            if texts:
+                yield rows(texts, [None] * len(texts), [None] * len(texts))
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], names=["word", "n"])
+        yield rows([None] * (at.size + 1), [*at.tolist(), -1], [*counts[at].tolist(), n])
 
-    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    out = docs.select("text").mapInArrow(run, "ids binary, word long, n long")
+    if hashed:
+        out = materialise(out, "op7-words")
+    rows = out.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
     got = {r.word: r.n for r in rows.collect()}  # one row for each word of the group and each bucket
     n, size = got.pop(-1, 0), len(vocabulary)
-    return {k: v for k, v in got.items() if k < size}, {k - size: v for k, v in got.items() if k >= size}, n
+    return {k: v for k, v in got.items() if k < size}, {k - size: v for k, v in got.items() if k >= size}, n, out if hashed else None
 
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """The fitting sample: at most ``FIT_DOCS`` distinct texts, written once."""
-    rows = docs.select("text", F.xxhash64("text").alias("h")).where("text IS NOT NULL")
-    ids = rows.select("h").distinct().orderBy("h").limit(FIT_DOCS)
-    some = rows.join(F.broadcast(ids), "h").groupBy("h").agg(F.first("text").alias("text"))  # at most FIT_DOCS hashes
-    return materialise(some.select("text").repartition(FIT_TASKS), "op7-sample")
+def _gram(texts: DataFrame, idf, base):
+    """A'(A ``base``) of the TF-IDF passages A of all ``texts`` (their words' buckets)."""
+    import numpy as np
 
+    shape, small = base.shape, base.astype(np.float32)
+    weights = idf.astype(np.float32)
 
-def _fit(docs: DataFrame, counts: dict, n: int, seed: int = 11) -> Latent:
-    """The leading singular vectors of the sample's passages by a randomised SVD."""
-    import numpy as np
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    df = np.zeros(BUCKETS)
-    df[list(counts)] = list(counts.values())
-    idf = np.where((df > 0) & (df <= max(COMMON * n, 20)), np.log((1 + n) / (1 + df)) + 1, 0.0)
-    sample = _sample(docs)
+        out, column = np.zeros(shape), np.zeros(BUCKETS, dtype=np.int64)
+
+        def add(texts: list[bytes]) -> None:
+            sums = np.zeros(shape, dtype=np.float32)
+            sizes = np.array([len(x) // 2 for x in texts])
+            ids = np.frombuffer(b"".join(texts), dtype="<u2")
+            passages = -(-sizes // FIT_WINDOW)  # of each text: none has words of two texts
+            gaps = np.repeat((np.cumsum(passages) - passages) * FIT_WINDOW - (np.cumsum(sizes) - sizes), sizes)
+            heavy = np.flatnonzero(weights.take(ids) > 0)
+            row = (heavy + gaps.take(heavy)) // FIT_WINDOW
+            ids = ids.take(heavy).astype(np.int64)
+            lows = np.arange(0, int(passages.sum()), FIT_ROWS)
+            ends = np.searchsorted(row, lows + FIT_ROWS).tolist()
+            for low, begin, end in zip(lows.tolist(), [0, *ends], ends, strict=False):
+                some = ids[begin:end]
+                own = np.flatnonzero(np.bincount(some, minlength=BUCKETS) > 0)
+                column[own] = np.arange(own.size)
+                cell = (row[begin:end] - low) * own.size + column.take(some)
+                a = np.bincount(cell, minlength=FIT_ROWS * own.size).astype(np.float32).reshape(FIT_ROWS, -1)
+                a *= weights.take(own)
+                y = a @ small.take(own, axis=0)
+                y /= np.maximum(np.einsum("ij,ij->i", a, a), 1e-24)[:, None]  # passages of unit length, on both sides
+                y = a.T @ y
+                y += sums.take(own, axis=0)
+                sums[own] = y
+            np.add(out, sums, out=out)
+
+        for batch in batches:
+            texts, size = [], 0
+            for x in batch.column(0):
+                texts.append(x.as_py())
+                size += len(texts[-1])
+                if size >= FIT_BYTES:
+                    add(texts)
+                    texts, size = [], 0
+            if texts:
+                add(texts)
+        for part, rows in enumerate(np.array_split(out.astype(np.float32), FIT_PARTS)):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["part", "m"])
+
+    def summed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def total(base, project: bool):
-        shape = (base.shape[1] if project else BUCKETS, base.shape[1])
-        small = base.astype(np.float32)
+        sums: dict = {}
+        for batch in batches:
+            for part, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = np.frombuffer(m.as_py(), dtype=np.float32).astype(np.float64)
+                sums[part] = sums[part] + rows if part in sums else rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "m"])
+
+    out = np.zeros(shape)
+    parts = np.array_split(out, FIT_PARTS)
+    schema = "part int, m binary"
+    texts = texts.coalesce(FIT_TASKS * texts.sparkSession.sparkContext.defaultParallelism)
+    for r in texts.mapInArrow(run, schema).repartition(FIT_PARTS, "part").mapInArrow(summed, schema).collect():  # one matrix, whatever the tasks
+        parts[r.part][:] = np.frombuffer(bytes(r.m)).reshape(parts[r.part].shape)
+    return out
 
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
 
-            out = np.zeros(shape)
-            for batch in batches:
-                for text in batch.column(0):
-                    ids = buckets_of(words_of(text.as_py()))
-                    own, column = np.unique(ids, return_inverse=True)
-                    weights, rows = idf[own], small[own].astype(np.float64)
-                    for low in range(0, ids.size, FIT_WINDOW * 64):
-                        some = column[low : low + FIT_WINDOW * 64]
-                        a = np.zeros((64, own.size))
-                        np.add.at(a, (np.arange(some.size) // FIT_WINDOW, some), weights[some])
-                        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-                        y = a @ rows
-                        if project:
-                            out += y.T @ y
-                        else:
-                            out[own] += a.T @ y
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["m"])
-
-        out = np.zeros(shape)
-        for r in sample.mapInArrow(run, "m binary").toLocalIterator():  # one bounded matrix a task
-            out += np.frombuffer(bytes(r.m), dtype=np.float32).reshape(shape)
-        return out
+def _fit(texts: DataFrame, counts: dict, n: int, seed: int = 11) -> Latent:
+    """The leading singular vectors of all distinct texts' passages by a randomised SVD."""
+    import numpy as np
 
+    df = np.zeros(BUCKETS)
+    df[list(counts)] = list(counts.values())
+    idf = np.where((df > 0) & (df <= max(COMMON * n, 20)), np.log((1 + n) / (1 + df)) + 1, 0.0)
+    distinct = materialise(texts.where("ids IS NOT NULL").select("ids").distinct(), "op7-texts")
+    drop_scratch(texts)
     rng = np.random.Generator(np.random.PCG64(seed))
-    q = rng.standard_normal((BUCKETS, RANK + 8))
-    for _ in range(2):  # the range, and one power iteration
-        q = np.linalg.qr(total(q, False))[0]
-    values, vectors = np.linalg.eigh(total(q, True))
-    order = np.argsort(-values)[:RANK]
-    order = order[values[order] > 1e-6 * max(values.max(initial=0), 1e-12)]
-    drop_scratch(sample)
-    return Latent(idf, q @ vectors[:, order])
+    q = np.linalg.qr(_gram(distinct, idf, rng.standard_normal((BUCKETS, RANK + 8))))[0]
+    y = _gram(distinct, idf, q)
+    drop_scratch(distinct)
+    core = q.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    some = values > 1e-6 * max(values.max(initial=0), 1e-12)
+    if not some.any():
+        return Latent(idf, np.zeros((BUCKETS, 0)))
+    vectors, roots, _ = np.linalg.svd(y @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
+    return Latent(idf, vectors[:, :RANK][:, roots[:RANK] ** 2 > 1e-6 * roots[0] ** 2])
 
 
 def models(docs: DataFrame, benchmark: DataFrame, limits: tuple[float, float] = (COSINE, LATENT)) -> Iterator[Searcher]:
@@ -390,8 +450,8 @@ def models(docs: DataFrame, benchmark: DataFrame, limits: tuple[float, float] =
     latent = None
     for group in _load(benchmark):
         vocabulary = {w: i for i, w in enumerate(sorted({w for i in group for w in i.words}))}
-        df, hashed, n = _frequencies(docs, vocabulary, latent is None)
-        latent = latent or _fit(docs, hashed, n)
+        df, hashed, n, texts = _frequencies(docs, vocabulary, latent is None)
+        latent = latent or _fit(texts, hashed, n)
         idf = {w: math.log((1 + n) / (1 + df.get(i, 0))) + 1 for w, i in vocabulary.items() if df.get(i, 0) <= max(COMMON * n, 20)}
         yield Searcher(group, idf, latent, limits)
 

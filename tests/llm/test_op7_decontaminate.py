@@ -133,3 +133,50 @@ def test_empty(spark):
     b = spark.createDataFrame([(1, "some words of an item that is long enough")], "item_id long, text string")
     assert op.hits(d, b).count() == 0 and op.hits(b.withColumnRenamed("item_id", "doc_id"), b.limit(0)).count() == 0
     assert op.hits(b.withColumnRenamed("item_id", "doc_id"), b).count() == 1
+
+
+def beyond_a_sample(spark):
+    """Texts on 25 topics behind, by their hashes, more than 2000 others that have none of the topics' words; items and their paraphrases."""
+    rng = random.Random(8)
+    frame = [f"fun{i}" for i in range(12)]
+    topics = [([f"a{t}x{i}" for i in range(8)], [f"b{t}x{i}" for i in range(8)]) for t in range(25)]
+
+    def passage(t, names, n=40):
+        return [rng.choice(frame) if k % 2 else rng.choice(names or rng.choice(topics[t])) for k in range(n)]
+
+    others = [(" ".join([*frame[:3], *(f"other{rng.randrange(200)}" for _ in range(4)), f"only{i}"]), True) for i in range(4400)]
+    told = [(" ".join([*(w for _ in range(8) for w in passage(i % 25, None)), f"n{k}"]), False) for i in range(400) for k in range(2)]
+    rows = spark.createDataFrame(others + told, "text string, other boolean").where("(xxhash64(text) < 0) = other").collect()
+    docs = [(i, r.text) for i, r in enumerate(rows)]
+    assert sum(r.other for r in rows) >= 2000 and sum(not r.other for r in rows) >= 300
+    items, leaks = [], []
+    for t in range(25):
+        words = passage(t, topics[t][0])
+        other = dict(zip(*topics[t], strict=True))
+        items.append((t, " ".join(words)))
+        leak = [other.get(w, w) if k < 34 else w for k, w in enumerate(words)]
+        docs.append((100_000 + t, " ".join([*passage((t + 7) % 25, topics[(t + 7) % 25][0], 14), *leak])))
+        leaks.append((100_000 + t, t))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), leaks
+
+
+def test_latent_space_is_fitted_on_all_texts(spark):
+    d, b, leaks = beyond_a_sample(spark)
+    found = {(r.doc_id, r.item_id) for r in op.hits(d, b).collect()}
+    assert len(set(leaks) & found) >= 0.9 * len(leaks)
+
+
+def test_gram_of_all_passages_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 400, n).astype("<u2") for n in [*rng.integers(1, 700, 60), 1, 64, 65, 128, 9000]]
+    idf = np.zeros(op.BUCKETS)
+    idf[5:400] = rng.random(395)  # the first are too common
+    base = rng.standard_normal((op.BUCKETS, 7))
+    want = np.zeros(base.shape)
+    for x in texts:
+        for low in range(0, len(x), op.FIT_WINDOW):
+            a = np.bincount(x[low : low + op.FIT_WINDOW], minlength=op.BUCKETS) * idf
+            a /= max(np.linalg.norm(a), 1e-12)
+            want += np.outer(a, a @ base)
+    rows = spark.createDataFrame([(bytearray(x.tobytes()),) for x in texts], "ids binary").repartition(5)
+    assert np.allclose(op._gram(rows, idf, base), want, rtol=1e-3, atol=1e-4)
