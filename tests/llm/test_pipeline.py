@@ -7,6 +7,8 @@ import corpus_pipeline
 from cairnframe.llm import op1_quality, op3_order, op7_decontaminate, op10_mix
 from cairnframe.llm.tokens import END, encoding
 
+from .test_op7_decontaminate import beyond_a_sample
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -81,3 +83,10 @@ def test_training_order_stage(run):
 
 def test_run(spark, run):
     assert corpus_pipeline.run(spark, SF).count() == run[5].count()
+
+
+def test_decontamination_stage_fits_on_all_texts(spark, tmp_path):
+    docs, items, leaks = beyond_a_sample(spark)
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {x.doc_id for x in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert len([i for i, _ in leaks if i not in kept]) >= 0.9 * len(leaks)
